@@ -1,0 +1 @@
+"""Composite dataflows and the catalogue of queries."""

@@ -2,36 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import lexicon, metrics, sequences, text  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with DuckDB SQL for the same rows where SQL can express them."""
-
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(r"""
-SELECT token, count(*)::BIGINT AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) AS token FROM documents)
-GROUP BY token
-""")
-def token_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)"), 1)).alias("token"))
-    return tokens.groupBy("token").agg(F.count("*").alias("freq"))
+__all__ = ["ORACLE_SQL", "QUERIES"]
