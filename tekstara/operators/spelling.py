@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegerType
 
 from ..functions.lithuanian import osa
 from ..functions.text import deletes1, deletes2, fold_ascii, match_case
@@ -32,7 +33,7 @@ def delete_index(words: DataFrame, form: str = "form", least_freq: int = 5) -> D
     return words.where(F.col("freq") >= least_freq).withColumn("deletion", F.explode(keys))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa(x, y) for x, y in zip(a, b, strict=True)])
 
