@@ -16,6 +16,7 @@ MARKS = {"grave": GRAVE, "acute": ACUTE, "tilde": TILDE}
 NAMES = {v: k for k, v in MARKS.items()}
 VOWELS = set("aąeęėiįyouųū")
 SONORANTS = set("lmnr")
+LONG = set("ąęėįųūy")
 
 
 def nfc(text: str | None) -> str | None:
@@ -87,26 +88,24 @@ def put_stress(word: str | None, index: int, mark: str) -> str | None:
     return unicodedata.normalize("NFC", "".join(parts))
 
 
+def marks_of(letter: str, before: str, after: str) -> set[str]:
+    """The marks a letter may bear between its neighbours ('' at an edge): sonorants a tilde after a vowel; long vowels no grave;
+    i and u alone between consonants a grave, and u also a tilde unless a sonorant follows; other vowels any mark."""
+    if letter in SONORANTS:
+        return {"tilde"} if before in VOWELS else set()
+    if letter not in VOWELS:
+        return set()
+    if letter in LONG:
+        return {"acute", "tilde"}
+    if letter in {"i", "u"} and before not in VOWELS and after not in VOWELS:
+        return {"grave", "tilde"} if letter == "u" and after not in SONORANTS else {"grave"}
+    return set(MARKS)
+
+
 def may_carry(word: str, index: int, mark: str) -> bool:
-    """Whether a letter can bear a mark: vowels any, but grave only on a short vowel outside a diphthong's second part; sonorants
-    a tilde after a short vowel and before a consonant or the end; the first part of a diphthong acute or grave."""
-    letters = [c[0] + (DOT if DOT in c else "") for c in clusters((strip_stress(word) or "").lower())]
-    bases = [unicodedata.normalize("NFC", c) for c in clusters((strip_stress(word) or "").lower())]
-    if not 0 <= index < len(letters):
-        return False
-    at = bases[index]
-    before, after = bases[index - 1] if index else "", bases[index + 1] if index + 1 < len(bases) else ""
-    if at in SONORANTS:
-        return mark == "tilde" and before in set("aeiuo") and after not in VOWELS
-    if at not in VOWELS:
-        return False
-    if at in "iu" and before in {"a", "e", "u"} and before != at and mark == "grave":
-        return False
-    if mark == "grave":
-        return at in set("aeiou")
-    if mark == "tilde":
-        return not (at in set("iu") and after in SONORANTS and bases[index + 2 : index + 3] and bases[index + 2] not in VOWELS)
-    return True
+    letters = [unicodedata.normalize("NFC", c) for c in clusters((strip_stress(word) or "").lower())]
+    padded = ["", *letters, ""]
+    return 0 <= index < len(letters) and mark in marks_of(letters[index], padded[index], padded[index + 2])
 
 
 def default_form(forms: list[str]) -> str | None:
