@@ -25,6 +25,9 @@ ROLES = set("navigation banner contentinfo complementary search form alert dialo
 MARKS = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|rail|widget|footer|header|masthead|comments?|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|pagination|pager|login|signup|toolbar|skip)(?:[\s_-]|$)"
 )
+#: An article element is dropped only as a comment or teaser; a class such as has-sidebar tells of layout, not of what is inside.
+OF_ARTICLES = re.compile(r"(?i)(?:^|[_-])(?:comments?|repl(?:y|ies)|teaser|related|ads?|advert\w*|sponsor\w*)(?:[_-]|$)")
+LAYOUT = re.compile(r"(?i)(?:has|with|without|no|not|is|show|hide)[_-]")
 PIECE = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([!?][^>]*)>)")
 ATTR = re.compile(r"""(?i)(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
@@ -47,8 +50,10 @@ def boilerplate(tag: str, attrs: str) -> bool:
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES):
                 return True
-            if name in ("class", "id") and tag not in ("article", "p", "h1") and MARKS.search(value):
-                return True
+            if name in ("class", "id") and tag not in ("p", "h1"):
+                marks = OF_ARTICLES if tag == "article" else MARKS
+                if any(marks.search(x) and not LAYOUT.match(x) for x in value.split()):
+                    return True
     return False
 
 
