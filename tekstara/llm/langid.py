@@ -143,7 +143,7 @@ def frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from columns text and lang (neither null). Weights come from about ``sample_rows`` rows of each language, chosen by
+    """Learn from columns text and lang (neither null). Weights come from about ``sample_rows`` texts of each language, chosen by
     a hash of the text; four fifths fit the weights, the rest the temperature."""
     counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
@@ -153,7 +153,8 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     idf = np.log((1 + rows) / (1 + df)) + 1
     spread = 1_000_000
     share = F.create_map(*[F.lit(x) for c in langs for x in (c, min(spread, -(-sample_rows * spread // counts[c])))])
-    picked = train.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(spread)) < F.element_at(share, F.col("lang")))
+    # copies count once, however many there are, so the sample stays bounded
+    picked = train.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(spread)) < F.element_at(share, F.col("lang"))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
