@@ -141,48 +141,113 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _blocks(rows: DataFrame, size: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, cols: list[str]) -> DataFrame:
     """Members of buckets in blocks of about BLOCK, as arrays."""
-    dealt = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n_members") / BLOCK)))
-    return dealt.groupBy("key", "block").agg(F.collect_list(F.struct("id", "comp", "n", "regs")).alias("members"))
+    size = rows.groupBy("key").agg(F.count("*").alias("__c"))
+    dealt = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("__c") / BLOCK)))
+    return dealt.groupBy("key", "band", "block").agg(F.collect_list(F.struct(*cols)).alias("members"))
 
 
-def across(buckets: DataFrame, reps: DataFrame, comps: DataFrame, floor: float, every: bool) -> DataFrame:
-    """Likely pairs (a, b) of different components in one bucket.
-
-    In each bucket the rows outside its largest component meet all of its rows, block by block, so no task holds a bucket and
-    no row is made for a pair that registers rule out. Unless ``every``, a row gets its likeliest partner of a block only.
-    """
+def mixed(buckets: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """key, band, id, comp, n, regs and ``main`` (the bucket's largest component) of buckets with several components."""
     rows = buckets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    size = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n_members"), F.count("*").alias("n_comps"))
-    size = size.where("n_comps > 1").select("key", "main", "n_members")
-    rows = settle(rows.join(size, "key").join(reps, "id").select("key", "id", "comp", "n", "regs", "main", "n_members"))
-    size = rows.select("key", "n_members").distinct()
-    rest = rows.where("comp <> main").drop("main", "n_members")
-    left = _blocks(rest, rest.groupBy("key").agg(F.count("*").alias("n_members"))).select("key", F.col("members").alias("x"))
-    right = _blocks(rows.drop("main", "n_members"), size).select("key", F.col("members").alias("y"))
-    kind = dict(reps.dtypes)["id"]
+    size = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k"))
+    size = size.where("k > 1").select("key", "main")
+    return settle(rows.join(size, "key").join(reps, "id").select("key", "band", "id", "comp", "n", "regs", "main"))
+
+
+def meeting(rows: DataFrame, cols: list[str], fn, schema: str) -> DataFrame:
+    """In each bucket the rows outside its largest component meet all of its rows, block by block, so no task holds a bucket.
+    ``fn(band, x, y)`` takes two lists of members and returns columns."""
+    left = _blocks(rows.where("comp <> main").select("key", "band", *cols), cols).select("key", "band", F.col("members").alias("x"))
+    right = _blocks(rows.select("key", "band", *cols), cols).select("key", F.col("members").alias("y"))
+    names = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                x, y = x.as_py(), y.as_py()
-                rb, nb, cb = (np.frombuffer(b"".join(m["regs"] for m in y), np.uint16).reshape(-1, M), np.array([m["n"] for m in y], float), np.array([m["comp"] for m in y], object))
-                a, b = [], []
-                for m in x:
-                    other = np.flatnonzero((cb != m["comp"]) & (np.minimum(nb, m["n"]) >= (floor + SLACK - 1e-9) * np.maximum(nb, m["n"])))
-                    ra = np.frombuffer(m["regs"], np.uint16)
-                    # far too few equal registers to reach the floor by any estimate
-                    other = other[(rb[other] == ra).sum(1) >= (floor - 0.15) * M]
-                    if len(other):
-                        ra = np.broadcast_to(ra, (len(other), M))
-                        est = estimate(ra, rb[other], np.full(len(other), float(m["n"])), nb[other])
-                        good = other[est >= (floor if every else max(floor, est.max()))][: None if every else 1]
-                        a += [m["id"]] * len(good)
-                        b += [y[i]["id"] for i in good]
-                yield pa.RecordBatch.from_arrays([pa.array(a, _ARROW[kind]), pa.array(b, _ARROW[kind])], names=["a", "b"])
-
-    out = map_arrow(left.join(right, "key").select("x", "y"), run, f"a {kind}, b {kind}")
+            for key, band, x, y in zip(*batch.columns, strict=True):
+                out = fn(key.as_py(), band.as_py(), x.as_py(), y.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k.split()[1]]) for c, k in zip(out, schema.split(", "), strict=True)], names=names)
+
+    # few rows, each a block pair of up to 2 * BLOCK members: small batches
+    return map_arrow(left.join(right, "key").select("key", "band", "x", "y"), run, schema)
+
+
+def candidates(m: dict, y: list[dict], regs: np.ndarray, n: np.ndarray, comp: np.ndarray, floor: float, percent: int, band: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(indexes, estimates) of rows of ``y`` in other components that may reach the threshold with ``m``.
+
+    With ``band`` only those that share no earlier band, so that over all bands each pair comes once.
+    """
+    own = np.frombuffer(m["regs"], np.uint16)
+    at = np.flatnonzero((comp != m["comp"]) & (100 * np.minimum(n, m["n"]) >= percent * np.maximum(n, m["n"])))
+    same = regs[at] == own
+    at, same = at[(keep := same.sum(1) >= (floor - 0.15) * M)], same[keep]
+    if band is not None and len(at):
+        at = at[same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+    if not len(at):
+        return at, np.zeros(0)
+    est = estimate(np.broadcast_to(own, (len(at), M)), regs[at], np.full(len(at), float(m["n"])), n[at])
+    return at[est >= floor], est[est >= floor]
+
+
+def _columns(y: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(m["regs"] for m in y), np.uint16).reshape(-1, M), np.array([m["n"] for m in y], float), np.array([m["comp"] for m in y], object)
+
+
+def likeliest(rows: DataFrame, kind: str, floor: float, percent: int) -> DataFrame:
+    """(a, b): each row outside its bucket's main component with its likeliest partner of another component in each block."""
+
+    def fn(key, band: int, x: list[dict], y: list[dict]) -> list[list]:
+        a, b, cols = [], [], _columns(y)
+        for m in x:
+            at, est = candidates(m, y, *cols, floor, percent)
+            if len(at):
+                a.append(m["id"])
+                b.append(y[at[est.argmax()]]["id"])
+        return [a, b]
+
+    out = meeting(rows, ["id", "comp", "n", "regs"], fn, f"a {kind}, b {kind}")
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def remaining(rows: DataFrame, sets: DataFrame, kind: str, floor: float, percent: int) -> DataFrame:
+    """(a, b): links between different components among all pairs that share a band and that registers don't rule out.
+
+    First the members of each bucket that are in such a pair are found from registers, then their sets are brought together
+    and pairs are confirmed where they meet, each in its first shared band. A pair that isn't a link never becomes a row, and
+    one link joins a row to a component of the block.
+    """
+
+    def needed(key, band: int, x: list[dict], y: list[dict]) -> list[list]:
+        ids, cols = {}, _columns(y)
+        for m in x:
+            at, _ = candidates(m, y, *cols, floor, percent, band)
+            if len(at):
+                ids[m["id"]] = None
+                ids |= dict.fromkeys(y[i]["id"] for i in at)
+        return [[key] * len(ids), list(ids)]
+
+    use = meeting(rows, ["id", "comp", "n", "regs"], needed, f"key bigint, id {kind}").distinct()
+    full = rows.join(settle(use), ["key", "id"]).join(sets, "id")
+
+    def linked(key, band: int, x: list[dict], y: list[dict]) -> list[list]:
+        a, b, cols = [], [], _columns(y)
+        items = [np.frombuffer(m["items"], np.uint64) for m in y]
+        for m in x:
+            at, est = candidates(m, y, *cols, floor, percent, band)
+            own, done = np.frombuffer(m["items"], np.uint64), set()
+            for i in at[np.argsort(-est)]:
+                if y[i]["comp"] in done:
+                    continue
+                both = np.sort(np.concatenate([own, items[i]]))
+                same = int((both[1:] == both[:-1]).sum())
+                if 100 * same >= percent * (len(both) - same):
+                    a.append(m["id"])
+                    b.append(y[i]["id"])
+                    done.add(y[i]["comp"])
+        return [a, b]
+
+    out = meeting(full, ["id", "comp", "n", "regs", "items"], linked, f"a {kind}, b {kind}")
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -195,7 +260,7 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", k
     A row's set is its distinct k-word shingles; fewer words give one shingle of them all; a null or empty text gives an empty
     set, linked with nothing. Equal sets are one class, so copies cost no pairs. Class representatives that share a band of
     registers are candidates: each bucket's members with its least id, then members of different components with each other,
-    first the likeliest, then all. Every link is confirmed on full sets. Repeated rows of an id are one document; rows with a
+    first the likeliest, then all, without a row for a pair that is no link. Every link is confirmed on full sets. Repeated rows of an id are one document; rows with a
     null id are in no class and have a null component. An empty table gives an empty result.
     """
     floor = percent / 100 - SLACK
@@ -206,9 +271,9 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", k
     own = some.join(classes, "fp").where("id = rep").groupBy("id").agg(F.max(F.struct("n", "regs")).alias("s"))
     reps = settle(own.select("id", "s.n", "s.regs"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    keys = reps.select("id", F.explode(bands).alias("key"))
+    keys = reps.select("id", F.posexplode(bands).alias("band", "key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    buckets = settle(keys.join(shared, "key").select("key", "id", "lead"))
+    buckets = settle(keys.join(shared, "key").select("key", "band", "id", "lead"))
     ids = buckets.select("id").distinct()
     # a repeated id has one text here: that with the most shingles
     sets = settle(full_sets(docs.join(ids, "id", "left_semi"), k).groupBy("id").agg(F.max(F.struct(F.length("items"), "items"))["items"].alias("items")))
@@ -220,9 +285,10 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", k
     stars = buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = settle(confirmed(likely(with_regs(stars), floor), sets, percent))
     comps = components(links)
-    members = buckets.select("key", "id")
-    for every in (False, True):
-        more = settle(confirmed(across(members, reps, comps, floor, every), sets, percent))
+    members, kind = buckets.select("key", "band", "id"), dict(reps.dtypes)["id"]
+    for last in (False, True):
+        rows = mixed(members, reps, comps)
+        more = settle(remaining(rows, sets, kind, floor, percent) if last else confirmed(likeliest(rows, kind, floor, percent), sets, percent))
         if not more.isEmpty():
             links = settle(links.union(more))
             comps = components(links)
