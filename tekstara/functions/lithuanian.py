@@ -108,6 +108,45 @@ def may_carry(word: str, index: int, mark: str) -> bool:
     return 0 <= index < len(letters) and mark in marks_of(letters[index], padded[index], padded[index + 2])
 
 
+# Pairs of letters that are one diphthong, and letters that vowels begin as.
+DIPHTHONGS = {"au", "ai", "ei", "ui", "uo", "ie"}
+PLAIN_VOWELS = set("aeiouy")
+
+
+def place_of(letters: list[str], i: int, mark: str) -> tuple[int, str]:
+    """Where standard spelling puts a mark found on letter i: a tilde on the second part of a diphthong or on the sonorant of a
+    mixed one; an acute on a sonorant after a vowel becomes a tilde. ``letters`` are lower-case, marked ones (ė, ū) as they are."""
+    at, before = letters[i], letters[i - 1] if i else ""
+    after, second = [*letters[i + 1 : i + 3], "", ""][:2]
+    if mark == "tilde" and at + after in DIPHTHONGS and after + second[:1] not in DIPHTHONGS:
+        return i + 1, mark
+    mixed = at in set("aeiu") and after in SONORANTS and before + at not in DIPHTHONGS
+    if mark == "tilde" and mixed and clusters(second)[:1] != [] and clusters(second)[0][0] not in PLAIN_VOWELS:
+        return i + 1, mark
+    if mark == "tilde" and mixed and not second:
+        return i + 1, mark
+    if mark == "acute" and at in SONORANTS and before in PLAIN_VOWELS:
+        return i, "tilde"
+    return i, mark
+
+
+def standard_notation(text: str | None) -> str | None:
+    """Marks moved to where ``place_of`` puts them, unless another mark is there."""
+    if not text or not stresses(text):
+        return text
+    bare = clusters(strip_stress(text) or "")
+    letters = [unicodedata.normalize("NFC", c).lower() for c in bare]
+    found = stresses(text)
+    held = {i for i, _ in found}
+    out = list(bare)
+    for i, mark in found:
+        j, new = place_of(letters, i, mark)
+        if j != i and j in held:
+            j, new = i, mark
+        out[j] += MARKS[new]
+    return unicodedata.normalize("NFC", "".join(out))
+
+
 def default_form(forms: list[str]) -> str | None:
     """Leftmost stress, then tilde before acute before grave, then text; a form without stress comes last."""
     rank = {"tilde": 0, "acute": 1, "grave": 2}

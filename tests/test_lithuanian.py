@@ -41,3 +41,9 @@ def test_distance():
 
 def test_apocope():
     assert lt.apocope("eiti") == "eit" and lt.apocope("namas") is None
+
+
+def test_notation():
+    nfc = lambda x: unicodedata.normalize("NFC", x)
+    for a, b in (("ãusys", "aũsys"), ("ĩlgas", "il̃gas"), ("giŕdite", "gir̃dite"), ("pãieškai", "pãieškai"), ("kõl", "kõl"), ("mẽnas", "mẽnas"), ("", "")):
+        assert lt.standard_notation(nfc(a)) == nfc(b), a
