@@ -58,7 +58,7 @@ def nominals(e: DataFrame) -> DataFrame:
     canonical = F.filter(forms, lambda f: has(f, "canonical") & ~f["form"].contains(" ") & ~f["form"].contains("\n"))
     head = F.coalesce(template_head(), first(canonical), F.col("word"))
     letter = F.coalesce(*[F.try_element_at(F.get(F.col("head_templates"), 0)["args"], F.lit(k)) for k in ("g", "1")])
-    tagged = [F.when(F.exists(forms, lambda f, g=g: has(f, g)), g) for g in ("masculine", "feminine", "neuter")]
+    tagged = [F.when(F.array_contains(F.flatten(F.transform(forms, lambda f: f["tags"])), g), g) for g in ("masculine", "feminine", "neuter")]
     gender = F.coalesce(*[F.when(letter.isin(s, g), g) for s, g in (("m", "masculine"), ("f", "feminine"), ("n", "neuter"))], *tagged)
     plural = F.filter(forms, lambda f: has(f, "plural") & f["stressed"] & ~f["form"].startswith("no-table"))
     exact = F.filter(plural, lambda f: has(f, "nominative") & (f["source"] == "declension"))
