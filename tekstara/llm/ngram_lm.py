@@ -31,7 +31,8 @@ MU = 200.0
 CODE = 0.05
 FLUSH = 3_000_000
 STEP = 4 << 20
-SAMPLE = 32
+#: Words of high bits in a block; each block stores how many zeros stand before it.
+BLOCK_WORDS = 4
 _ALL = np.uint64((1 << 64) - 1)
 U = np.uint64
 
@@ -65,7 +66,7 @@ def mapped(uri: str, name: str) -> np.ndarray:
 
 
 class EliasFano:
-    """A non-decreasing uint64 sequence: low bits packed, high bits unary, every 32nd zero's place sampled."""
+    """A non-decreasing uint64 sequence: low bits packed, high bits unary, zeros counted before each block of high bits."""
 
     def __init__(self, n: int, base: int, low_bits: int, top: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray) -> None:
         self.n, self.base, self.l, self.top, self.low, self.high, self.zeros = n, base, low_bits, top, low, high, zeros
@@ -90,10 +91,13 @@ class EliasFano:
         up = (v >> U(l)).astype(np.int64)
         top = int(up[-1]) if n else 0
         size = n + top + 2
-        bits = np.zeros((size + 63) // 64 * 64 + 64, np.uint8)
+        block = 64 * BLOCK_WORDS
+        bits = np.zeros((size + block) // block * block, np.uint8)
         bits[up + np.arange(n)] = 1
-        zeros = np.flatnonzero(bits == 0)[::SAMPLE].astype(U)
-        return EliasFano(n, base, l, top, low, np.packbits(bits, bitorder="little").view(U), zeros)
+        high = np.packbits(bits, bitorder="little").view(U)
+        ones = np.bitwise_count(high).reshape(-1, BLOCK_WORDS).sum(1, dtype=np.int64)
+        zeros = np.concatenate([[0], np.cumsum(block - ones)[:-1]]).astype(U)
+        return EliasFano(n, base, l, top, low, high, zeros)
 
     def pack(self) -> bytes:
         head = np.array([self.n, self.base, self.l, self.top, len(self.low), len(self.high), len(self.zeros)], U)
@@ -108,13 +112,14 @@ class EliasFano:
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero (from 0) of the high bits."""
-        at = self.zeros[k // SAMPLE]
-        left = (k % SAMPLE).astype(U)
-        word = (at >> U(6)).astype(np.int64)
-        bits = ~self.high[word] & (_ALL << (at & U(63)))
+        k = k.astype(U)
+        block = np.searchsorted(self.zeros, k, "right") - 1
+        left = k - self.zeros[block]
+        word = block * BLOCK_WORDS
+        bits = ~self.high[word]
         count = np.bitwise_count(bits).astype(U)
         todo = np.flatnonzero(left >= count)
-        while len(todo):
+        while len(todo):  # fewer than BLOCK_WORDS times
             left[todo] -= count[todo]
             word[todo] += 1
             bits[todo] = ~self.high[word[todo]]
@@ -152,16 +157,19 @@ class EliasFano:
         later = np.flatnonzero(u > 0)
         pos[later] = self._zero(u[later] - 1) + U(1)
         i = pos.astype(np.int64) - u
-        live = np.flatnonzero(i < self.n)
-        while len(live):  # elements with the value's own high part, while they are lower
-            p = pos[live]
-            live = live[(self.high[(p >> U(6)).astype(np.int64)] >> (p & U(63))) & U(1) == 1]
-            got, want = self._low(i[live]), low[at[live]]
-            same[at[live[got == want]]] = True
-            live = live[got < want]
-            i[live] += 1
-            pos[live] += U(1)
-            live = live[i[live] < self.n]
+        # the run of elements with the value's own high part: a binary search of their low bits
+        stop = self._zero(u).astype(np.int64) - u
+        end, want = stop.copy(), low[at]
+        live = np.flatnonzero(i < end)
+        while len(live):
+            mid = (i[live] + end[live]) >> 1
+            below = self._low(mid) < want[live]
+            i[live] = np.where(below, mid + 1, i[live])
+            end[live] = np.where(below, end[live], mid)
+            live = live[i[live] < end[live]]
+        # an element at i with another high part is above the value and no equal
+        inside = np.flatnonzero(i < stop)
+        same[at[inside]] = self._low(i[inside]) == want[inside]
         out[at] = i
         out[early], same[early] = 0, False
         return out, same
