@@ -187,7 +187,7 @@ def label_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary(table(spark, sf_dir, "documents"), "lang")
 
 
-@query(f"WITH {TOKENS} SELECT lang, token, n, rank FROM (SELECT lang, token, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, token)::INTEGER AS rank FROM tok GROUP BY ALL) WHERE rank <= 20")
+@query(f"WITH {TOKENS} SELECT lang, token, n, rank FROM (SELECT *, (row_number() OVER (PARTITION BY lang ORDER BY n DESC, token))::INTEGER AS rank FROM (SELECT lang, token, count(*)::BIGINT AS n FROM tok GROUP BY lang, token)) WHERE rank <= 20")
 def top_tokens_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = doc_tokens(spark, sf_dir).groupBy("lang", "token").agg(F.count("*").alias("n"))
     return top_k(counts, ["lang"], 20, F.desc("n"), F.col("token"))
@@ -214,9 +214,8 @@ def distinct_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}]+') AS w FROM documents) SELECT doc_id, count(DISTINCT array_to_string(w[i + 1:i + 8], ' '))::BIGINT AS shingles
 FROM (SELECT doc_id, w, unnest(range(0, len(w) - 7)) AS i FROM d) GROUP BY doc_id""")
 def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "documents").select("doc_id", tokens(F.lower("text")).alias("w"))
-    s = w.select("doc_id", F.size(F.array_distinct(shingles(F.col("w"), 8))).cast("long").alias("shingles"))
-    return s.where("shingles > 0")
+    w = table(spark, sf_dir, "documents").select("doc_id", tokens(F.lower("text")).alias("w")).where(F.size("w") >= 8)
+    return w.select("doc_id", F.explode(shingles(F.col("w"), 8)).alias("s")).groupBy("doc_id").agg(F.countDistinct(F.xxhash64("s")).alias("shingles"))
 
 
 @query()
