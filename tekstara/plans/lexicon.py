@@ -37,11 +37,11 @@ def known(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH {LIVE}, c AS (SELECT doc_id, unnest(range(0, len(t))) AS pos, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{M}}]+') AS t FROM documents)),
 f AS (SELECT c.doc_id, c.token, CASE WHEN l.key IS NULL THEN NULL WHEN upper(substr(token, 1, 1)) = substr(token, 1, 1) AND lower(substr(token, 1, 1)) <> substr(token, 1, 1) THEN l.default_form_title ELSE l.default_form END AS form,
 l.key IS NOT NULL AS hit FROM c LEFT JOIN live l ON l.key = lower(c.token))
-SELECT doc_id, count(*)::BIGINT AS words, count(form)::BIGINT AS formed, sum(length(form))::BIGINT AS form_chars FROM f GROUP BY doc_id""")
+SELECT doc_id, count(*)::BIGINT AS words, count(form)::BIGINT AS formed, coalesce(sum(length(form)), 0)::BIGINT AS form_chars FROM f GROUP BY doc_id""")
 def dict_lookup_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)"), 1)).alias("pos", "token")).withColumn("key", F.lower("token"))
     found = choose_side(docs, known(spark, sf_dir))
-    return found.groupBy("doc_id").agg(F.count("*").alias("words"), F.count("form").alias("formed"), F.sum(F.length("form")).alias("form_chars"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("words"), F.count("form").alias("formed"), F.coalesce(F.sum(F.length("form")), F.lit(0)).alias("form_chars"))
 
 
 @query(f"WITH {LIVE} SELECT word AS key FROM w WHERE word NOT IN (SELECT key FROM live)")

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -13,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(df):
     df = df[sorted(df.columns)].astype(object)
-    cells = df.map(lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else v)
+    cells = df.map(lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, float) else v)
     return sorted(map(repr, cells.itertuples(index=False, name=None)))
 
 
