@@ -88,9 +88,13 @@ def judged(m: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame:
 
 
 def good_rows(df: DataFrame, text: str = "text", rules: list[tuple[str, str, float]] = RULES) -> DataFrame:
-    """The rows of ``df``, all columns, that ``quality`` keeps."""
+    """The rows of ``df``, all columns, that ``quality`` keeps.
+
+    Rows are let through by ``inline`` of an array of one or none: a filter would be pushed below the projections, and with it
+    copies of their expressions into each other's lambda functions.
+    """
     m = judged(measured(df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text].alias("text"))), rules)
-    return m.where("kept").select("row.*")
+    return m.select(F.inline(F.when(F.col("kept"), F.array("row"))))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
