@@ -15,6 +15,8 @@ from .common import load, map_arrow, steps, windows, words
 
 K1, B = 1.2, 0.75
 SHINGLE, OVERLAP = 5, 0.8
+#: Essential terms of an item beyond those it may lack.
+SPARE = 4
 #: Items of a block; bytes of item text in one index. A larger test set is met in several indexes, one after the other.
 BLOCK, INDEX_BYTES = 16, 16 << 20
 FILTER_BITS = 20
@@ -37,14 +39,17 @@ def shingles(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Postings by term, with each term's largest weight over all items and over each block of items."""
+    """Postings by block of items and term, and each item's essential terms: its heaviest ones, as flat lists by term."""
 
     ids: list
     terms: np.ndarray
-    items: list[np.ndarray]
-    weights: list[np.ndarray]
-    list_max: np.ndarray
-    block_max: np.ndarray
+    #: for each block, term number to (items, weights, largest weight)
+    blocks: list[dict[int, tuple[list[int], list[float], float]]]
+    least: np.ndarray
+    first: np.ndarray
+    of_item: np.ndarray
+    of_weight: np.ndarray
+    essential: np.ndarray
     need: np.ndarray
     full: np.ndarray
     question: list[np.ndarray]
@@ -58,7 +63,9 @@ class Index:
         """rows: (id, text); items without words take no part.
 
         An item's threshold is the least score that a passage with enough of its shingles can have: the item's own score less
-        its heaviest terms, as many as there are shingles that may be missing, since a term is only lost with a shingle of it.
+        its heaviest terms, as many (L) as there are shingles that may be missing, since a term is only lost with a shingle of
+        it. Its essential terms are the L + SPARE heaviest: a passage at the threshold holds at least the weight of the SPARE
+        lightest of them.
         """
         docs = [(i, hashes(t), *halves(t)) for i, t in rows]
         docs = [d for d in docs if len(d[1])]
@@ -68,72 +75,71 @@ class Index:
         tf = [np.unique(d[1], return_counts=True) for d in docs]
         terms, df = np.unique(np.concatenate([t for t, _ in tf]) if n else np.zeros(0, np.uint64), return_counts=True)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        blocks = -(-n // BLOCK)
-        items: list[list[int]] = [[] for _ in terms]
-        weights: list[list[float]] = [[] for _ in terms]
-        block_max = np.zeros((len(terms), blocks), np.float32)
-        full, need = np.zeros(n), np.zeros(n)
-        question, answer, widths = [], [], []
+        blocks: list[dict] = [{} for _ in range(-(-n // BLOCK))]
+        full, need, essential = np.zeros(n), np.zeros(n), np.zeros(n)
+        question, answer, widths, flat = [], [], [], []
         for k, (t, c) in enumerate(tf):
             at = np.searchsorted(terms, t)
             w = idf[at] * c * (K1 + 1) / (c + K1 * (1 - B + B * size[k] / mean))
-            for j, x in zip(at, w, strict=True):
-                items[j].append(k)
-                weights[j].append(float(x))
-            np.maximum.at(block_max, (at, np.full(len(at), k // BLOCK)), w.astype(np.float32))
+            for j, x in zip(at.tolist(), w.tolist(), strict=True):
+                held = blocks[k // BLOCK].get(j, ([], [], 0.0))
+                blocks[k // BLOCK][j] = ([*held[0], k], [*held[1], x], max(held[2], x))
             q, a = hashes(docs[k][2]), hashes(docs[k][3])
             widths.append(tuple(min(SHINGLE, max(1, len(x))) for x in (q, a)))
             question.append(shingles(q))
             answer.append(shingles(a))
             lost = int((1 - OVERLAP) * len(question[k]) + 1e-9) + int((1 - OVERLAP) * len(answer[k]) + 1e-9)
+            heavy = np.argsort(-w, kind="stable")[: lost + SPARE]
             full[k] = w.sum()
-            need[k] = full[k] - np.sort(w)[::-1][:lost].sum()
+            need[k] = full[k] - w[heavy[:lost]].sum()
+            essential[k] = w[heavy[lost:]].sum()
+            flat += [(int(at[h]), k, float(w[h])) for h in heavy]
+        flat.sort()
+        e_term = np.array([x[0] for x in flat], np.int64)
         maybe = np.zeros(1 << FILTER_BITS, bool)
         maybe[(terms >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        sure = 1 - 1e-6
         return Index(
-            [d[0] for d in docs], terms, [np.array(x) for x in items], [np.array(x) for x in weights], block_max.max(1, initial=0), block_max,
-            need * (1 - 1e-6), full, question, answer, int(size.max(initial=1)), widths, maybe,
+            [d[0] for d in docs], terms, blocks, np.array([need[i : i + BLOCK].min() for i in range(0, n, BLOCK)]) * sure, np.searchsorted(e_term, np.arange(len(terms) + 1)),
+            np.array([x[1] for x in flat], np.int64), np.array([x[2] for x in flat]), essential * sure, need * sure, full, question, answer, int(size.max(initial=1)), widths, maybe,
         )
 
-    def wand(self, query: np.ndarray, blocks: np.ndarray) -> list[tuple[int, float]]:
-        """(item, score) of all items of ``blocks`` that reach their thresholds, document at a time.
+    def wand(self, query: list[int], blocks: list[int]) -> list[tuple[int, float]]:
+        """(item, score) of all items of ``blocks`` that reach their thresholds, item at a time.
 
-        ``query``: distinct term numbers. Lists stand in order of their current items; the pivot is the first list at which
-        the summed upper bounds reach the least threshold of the pivot's block; blocks that can't reach it are jumped over.
+        ``query``: distinct term numbers. A block whose largest weights don't sum to its least threshold is passed over. In a
+        block, lists stand in order of their current items; the pivot is the first list at which the summed bounds reach the
+        threshold; lists before it skip to its item.
         """
-        allowed = np.zeros(self.block_max.shape[1], bool)
-        allowed[blocks] = True
-        least = np.array([self.need[b * BLOCK : (b + 1) * BLOCK].min() for b in range(len(allowed))])
-        floor = least[blocks].min()
-        lists = [[int(self.items[t][0]), 0, int(t)] for t in query]
         out = []
-        while lists:
-            lists.sort()
-            bound, pivot = 0.0, -1
-            for p, x in enumerate(lists):
-                bound += self.list_max[x[2]]
-                if bound >= floor:
-                    pivot = p
+        for b in blocks:
+            held, floor = self.blocks[b], self.least[b]
+            lists = [[0, *held[t]] for t in query if t in held]
+            if sum(x[3] for x in lists) < floor:
+                continue
+            while lists:
+                lists.sort(key=lambda x: x[1][x[0]])
+                bound, pivot = 0.0, -1
+                for p, x in enumerate(lists):
+                    bound += x[3]
+                    if bound >= floor:
+                        pivot = p
+                        break
+                if pivot < 0:
                     break
-            if pivot < 0:
-                break
-            item = lists[pivot][0]
-            b = item // BLOCK
-            upto = [x for x in lists if x[0] <= item]
-            if not allowed[b] or sum(self.block_max[x[2], b] for x in lists if x[0] < (b + 1) * BLOCK) < least[b]:
-                goal, move = (b + 1) * BLOCK, [x for x in lists if x[0] < (b + 1) * BLOCK]
-            elif lists[0][0] == item:
-                score = sum(self.weights[x[2]][x[1]] for x in upto)
-                if score >= self.need[item]:
-                    out.append((item, float(score)))
-                goal, move = item + 1, upto
-            else:
-                goal, move = item, [x for x in lists if x[0] < item]
-            for x in move:
-                own = self.items[x[2]]
-                x[1] = x[1] + int(np.searchsorted(own[x[1] :], goal))
-                x[0] = int(own[x[1]]) if x[1] < len(own) else -1
-            lists = [x for x in lists if x[0] >= 0]
+                item = lists[pivot][1][lists[pivot][0]]
+                if lists[0][1][lists[0][0]] == item:
+                    here = [x for x in lists if x[1][x[0]] == item]
+                    score = sum(x[2][x[0]] for x in here)
+                    if score >= self.need[item]:
+                        out.append((item, score))
+                    goal = item + 1
+                else:
+                    here, goal = lists[:pivot], item
+                for x in here:
+                    while x[0] < len(x[1]) and x[1][x[0]] < goal:
+                        x[0] += 1
+                lists = [x for x in lists if x[0] < len(x[1])]
         return out
 
     def search(self, h: np.ndarray, row: np.ndarray) -> list[tuple[int, int, float, float, float | None]]:
@@ -154,25 +160,30 @@ class Index:
         base = np.concatenate([[0], np.cumsum(strides)])
         owner = np.searchsorted(row, hit, "right") - 1
         cell = base[owner] + (hit - row[owner]) // stride
-        # bounds by lists: a stride's sum, and the next one's of the same row
-        part = np.bincount(cell, self.list_max[t], minlength=base[-1] + 1)
-        nxt = part[1:].copy()
-        nxt[base[1:] - 1] = 0
-        live = np.flatnonzero(part[:-1] + nxt >= self.need.min())
-        if not len(live):
+        # essential terms: each hit counts for the items it is essential to, in the two passages that hold its stride
+        many = self.first[t + 1] - self.first[t]
+        hits = np.repeat(np.arange(len(t)), many)
+        entry = np.arange(len(hits)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[t], many)
+        starts = np.zeros(base[-1] + 1, bool)
+        starts[base[:-1]] = True
+        inner = np.flatnonzero(~starts[cell[hits]])
+        passage = np.concatenate([cell[hits], cell[hits[inner]] - 1])
+        entry = np.concatenate([entry, entry[inner]])
+        _, once = np.unique(passage * len(self.of_item) + entry, return_index=True)
+        pair, at = np.unique(passage[once] * len(self.ids) + self.of_item[entry[once]], return_inverse=True)
+        weight = np.bincount(at, self.of_weight[entry[once]], minlength=len(pair))
+        pair = pair[weight >= self.essential[pair % len(self.ids)]]
+        if not len(pair):
             return []
+        live, starts_at = np.unique(pair // len(self.ids), return_index=True)
         at = np.searchsorted(cell, np.arange(base[-1] + 2))
         last = np.zeros(base[-1], bool)
         last[base[1:] - 1] = True
         of = np.searchsorted(base, live, "right") - 1
-        least = np.array([self.need[b : b + BLOCK].min() for b in range(0, len(self.need), BLOCK)])
         best: dict[tuple[int, int], tuple[float, float, float | None]] = {}
-        for c, r in zip(live, of, strict=True):
-            seen = np.unique(t[at[c] : at[c + (1 if last[c] else 2)]])
-            blocks = np.flatnonzero(self.block_max[seen].sum(0, dtype=np.float64) >= least)
-            if not len(blocks):
-                continue
-            found = self.wand(seen, blocks)
+        for c, r, own in zip(live, of, np.split(pair % len(self.ids), starts_at[1:]), strict=True):
+            seen = np.unique(t[at[c] : at[c + (1 if last[c] else 2)]]).tolist()
+            found = self.wand(seen, sorted({int(i) // BLOCK for i in own}))
             if not found:
                 continue
             lo = row[r] + (c - base[r]) * stride
