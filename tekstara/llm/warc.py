@@ -26,6 +26,8 @@ from .ngram_lm import put
 FIELDS = {1: ["url", "ip", "date", "type", "length"], 2: ["url", "ip", "date", "type", "result", "checksum", "location", "offset", "filename", "length"]}
 WHEN = "20240101000000"
 PAGE = "X-Page-Id"
+#: Compressed bytes that are read at a time.
+FEED = 1 << 14
 _NAMES = uuid.UUID("6f1b8e0a-3a51-5b0c-9c5e-0d6f5f1f9d42")
 
 
@@ -52,12 +54,16 @@ def members(data: bytes) -> Iterator[bytes]:
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    rest = memoryview(data)
-    while len(rest):
+    at, view = 0, memoryview(data)
+    while at < len(data):
         z = zlib.decompressobj(31)
-        out = z.decompress(rest) + z.flush()
-        yield out
-        rest = rest[len(rest) - len(z.unused_data) :] if z.unused_data else rest[:0]
+        out = []
+        # fed bit by bit, as what follows a member's end is copied
+        while not z.eof and at < len(data):
+            piece = view[at : at + FEED]
+            out.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        yield b"".join(out)
 
 
 def arc_header(name: str, version: int) -> bytes:
