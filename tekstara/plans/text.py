@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import all_caps, deletes1, fold_ascii, is_clean_form, list_heavy, per_thousand, sentences, shingles, tokens, word_class
+from ..functions.text import ABBREVIATIONS, all_caps, deletes1, fold_ascii, is_clean_form, list_heavy, per_thousand, sentences, shingles, tokens, word_class
 from ..operators.joins import firewall, normalized
 from ..operators.measures import distribution, histogram
 from ..operators.ranking import hash_split, keep_first, running_quota, top_k, vocabulary
 from ..operators.sequences import chunked, quota_selected
 from ..operators.spelling import bigrams
 from ..sources.readers import html_paragraphs
+from .accent import parts
 from .registry import TOKENS, WORDS, doc_tokens, query, table, word_table
 
 
@@ -182,6 +183,16 @@ def word_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("lang", word_class("token", known).alias("class")).groupBy("lang", "class").agg(F.count("*").alias("n"))
 
 
+@query(rf"""WITH p AS (SELECT lang, unnest(list_zip(t, t[2:])) AS x FROM (SELECT lang, regexp_extract_all(text, '[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}]+') AS t FROM documents)),
+w AS (SELECT lang, x[1] AS token, coalesce(left(x[2], 1), '') AS after FROM p WHERE regexp_matches(x[1], '^[\p{{L}}\p{{M}}]'))
+SELECT lang, CASE WHEN after = '.' AND (length(token) = 1 OR lower(token) IN ({", ".join(f"'{x}'" for x in ABBREVIATIONS)})) THEN 'ABBREVIATION' WHEN regexp_matches(token, '^[IVXLCDM]+$') THEN 'NUMERAL'
+WHEN regexp_matches(token, '^[A-Za-zĄČĘĖĮŠŲŪŽąčęėįšųūž]+$') THEN 'WORD' ELSE 'FOREIGN' END AS class, count(*)::BIGINT AS n FROM w GROUP BY ALL""")
+def word_classes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all tokens as they are written, each with the character that follows it."""
+    words = parts(table(spark, sf_dir, "documents"), "lang").where("class <> 'SEPARATOR'")
+    return words.groupBy("lang", "class").agg(F.count("*").alias("n"))
+
+
 @query("SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INTEGER AS id FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)")
 def label_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary(table(spark, sf_dir, "documents"), "lang")
