@@ -62,6 +62,17 @@ def bigram_counts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy(F.desc("n"), "w1", "w2").limit(20000)
 
 
+#: The bound of the reference's table (MAX_BIGRAMS).
+MAX_BIGRAMS = 220_000
+
+
+@query(f"""WITH {TOKENS}, p AS (SELECT lag(token) OVER (PARTITION BY doc_id ORDER BY pos) AS w1, token AS w2 FROM tok)
+SELECT w1, w2, count(*)::BIGINT AS n FROM p WHERE w1 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2 ORDER BY n DESC, w1, w2 LIMIT {MAX_BIGRAMS}""")
+def bigram_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bigrams(doc_tokens(spark, sf_dir).select("doc_id", "pos", "token"))
+    return found.orderBy(F.desc("n"), "w1", "w2").limit(MAX_BIGRAMS)
+
+
 @query(f"""WITH {WORDS}, v AS (SELECT word FROM w WHERE freq >= 5), t AS (SELECT doc_id, pos, CASE WHEN v.word IS NOT NULL THEN token END AS token FROM tok LEFT JOIN v ON v.word = tok.token),
 p AS (SELECT lag(token) OVER (PARTITION BY doc_id ORDER BY pos) AS w1, token AS w2 FROM t)
 SELECT w1, w2, count(*)::BIGINT AS n FROM p WHERE w1 IS NOT NULL AND w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""")

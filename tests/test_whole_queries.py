@@ -13,3 +13,10 @@ def test_all_tokens_are_classed(spark, tmp_path):
     got = {r["class"]: r["n"] for r in entry.queries()["word_classes_all"](spark, sf).collect()}
     # Dr. pvz. a. gen. b. | XIV | Jonas ir dr Ona kt a | страна
     assert got == {"ABBREVIATION": 5, "NUMERAL": 1, "WORD": 6, "FOREIGN": 1}
+
+
+def test_bigrams_up_to_the_reference_bound(spark, tmp_path):
+    words = ["".join(chr(97 + (i // 26**j) % 26) for j in range(4)) for i in range(25_001)]
+    sf = documents(spark, tmp_path, [" ".join(words)] * 2)
+    got = entry.queries()["bigram_table"](spark, sf)
+    assert got.count() == 25_000 and got.where("n <> 2").count() == 0
