@@ -3,8 +3,10 @@
 Level 1 is the vocabulary: word hashes in order, as Elias-Fano sequences over hash ranges; a word's id is its place. Level 2
 holds each context's successors: a successor's value is its word id relative to its context's base (context id times the
 vocabulary's size), which makes the whole level one increasing sequence, split by value into shards. Monotone pointers, again
-Elias-Fano, give each context's first successor. A query looks for the least value not below base + word id. Probabilities are
-smoothed with a Dirichlet prior whose mean is the unigram model and stored as 8-bit codes.
+Elias-Fano, give each context's first successor. A query looks for the least value not below base + word id. Level 3 is counted
+the same way and keyed by the place of its first two words in level 2: place times the vocabulary's size plus word id.
+Probabilities are smoothed with a Dirichlet prior whose mean is the next lower level's model and stored as 8-bit codes. A word
+that isn't seen after its context gets the lower level's probability times the prior's share of that context.
 """
 
 from __future__ import annotations
@@ -112,17 +114,21 @@ class EliasFano:
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero (from 0) of the high bits."""
+        return self._nth(k, self.zeros, _ALL)
+
+    def _nth(self, k: np.ndarray, before: np.ndarray, flip: np.uint64) -> np.ndarray:
+        """Place of the k-th one of the high bits after ``flip``, of which ``before`` stand before each block."""
         k = k.astype(U)
-        block = np.searchsorted(self.zeros, k, "right") - 1
-        left = k - self.zeros[block]
+        block = np.searchsorted(before, k, "right") - 1
+        left = k - before[block]
         word = block * BLOCK_WORDS
-        bits = ~self.high[word]
+        bits = self.high[word] ^ flip
         count = np.bitwise_count(bits).astype(U)
         todo = np.flatnonzero(left >= count)
         while len(todo):  # fewer than BLOCK_WORDS times
             left[todo] -= count[todo]
             word[todo] += 1
-            bits[todo] = ~self.high[word[todo]]
+            bits[todo] = self.high[word[todo]] ^ flip
             count[todo] = np.bitwise_count(bits[todo])
             todo = todo[left[todo] >= count[todo]]
         out = word.astype(U) << U(6)
@@ -174,6 +180,11 @@ class EliasFano:
         out[early], same[early] = 0, False
         return out, same
 
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The elements at places ``i``."""
+        ones = np.arange(len(self.zeros), dtype=U) * U(64 * BLOCK_WORDS) - self.zeros
+        return ((self._nth(i, ones, U(0)) - i.astype(U)) << U(self.l)) + self._low(i) + U(self.base)
+
     def values(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
         return ((ones - np.arange(self.n)).astype(U) << U(self.l)) + self._low(np.arange(self.n)) + U(self.base)
@@ -236,8 +247,16 @@ def counted(docs: DataFrame, grams, cuts: np.ndarray, build, schema: str, parts:
 
         k: np.ndarray = np.zeros(0, U)
         c = np.zeros(0, U)
+        ks, cs, more = [], [], 0
         for a, b in zip(pdf["keys"], pdf["counts"], strict=True):
-            k, c = tally([k, unsqueeze(a)], [c, unsqueeze(b)]) if len(k) else (unsqueeze(a), unsqueeze(b))
+            ks.append(unsqueeze(a))
+            cs.append(unsqueeze(b))
+            more += len(ks[-1])
+            if more >= max(len(k), 1 << 20):  # so that each key is sorted few times, however many blocks there are
+                k, c = tally([k, *ks], [c, *cs])
+                ks, cs, more = [], [], 0
+        if more:
+            k, c = tally([k, *ks], [c, *cs])
         return pd.DataFrame([build(int(pdf["part"].iloc[0]), k, c)])
 
     sent = map_arrow(docs, send, "part int, keys binary, counts binary")
@@ -259,10 +278,13 @@ def ids_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """The trie's files; arrays are mapped on first use in a process."""
 
-    def __init__(self, uri: str, vocab: list, bigrams: list, total: int, docs: int, mu: float) -> None:
+    def __init__(self, uri: str, vocab: list, bigrams: list, total: int, docs: int, mu: float, order: int = 2, trigrams: list | tuple = ()) -> None:
         self.uri, self.total, self.docs, self.mu = uri, total, docs, mu
         self.vocab_parts = [(r["part"], r["n"], r["low"]) for r in vocab if r["n"]]
         self.bigram_parts = [(r["part"], r["low"]) for r in bigrams if r["n"]]
+        self.bigram_sizes = [r["n"] for r in bigrams if r["n"]]
+        self.trigram_parts = [(r["part"], r["low"]) for r in trigrams if r["n"]]
+        self.order = order
         self.size = sum(r["n"] for r in vocab)
 
     def open(self) -> Model:
@@ -280,6 +302,14 @@ class Model:
             pointers, more = EliasFano.view(data[end:])
             self.grams.append((seq, pointers, data[end + more :]))
         self.gram_low = np.array([int(x[1]) for x in self.bigram_parts], U)
+        self.gram_first = np.concatenate([[0], np.cumsum(self.bigram_sizes)]).astype(np.int64)
+        self.gram_counts = [mapped(self.uri, f"bigram-counts-{part}").view(U) for part, _ in self.bigram_parts] if self.order > 2 else []
+        self.triples = []
+        for part, _ in self.trigram_parts:
+            data = mapped(self.uri, f"trigram-{part}")
+            seq, end = EliasFano.view(data)
+            self.triples.append((seq, data[end:]))
+        self.triple_low = np.array([int(x[1]) for x in self.trigram_parts], U)
         return self
 
     @staticmethod
@@ -307,6 +337,38 @@ class Model:
                     count[good] = counts[i[same]]
         return ids, count
 
+    def places(self, key: np.ndarray) -> np.ndarray:
+        """Places in level 2 of keys (-1: not seen)."""
+        out = np.full(len(key), -1, np.int64)
+        for p, at in self._by_part(self.gram_low, key) if self.grams else ():
+            i, same = self.grams[p][0].rank(key[at])
+            out[at[same]] = i[same] + self.gram_first[p]
+        return out
+
+    def of_places(self, place: np.ndarray, want: str) -> np.ndarray:
+        """Counts or keys of places in level 2."""
+        out, part = np.zeros(len(place), U), np.searchsorted(self.gram_first, place, "right") - 1
+        for p in np.unique(part):
+            at = np.flatnonzero(part == p)
+            i = place[at] - self.gram_first[p]
+            out[at] = self.gram_counts[p][i] if want == "counts" else self.grams[p][0].at(i)
+        return out
+
+    def counts_of(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of word ids."""
+        bases = np.array([x[0] for x in self.vocab])
+        out, p = np.zeros(len(ids)), np.searchsorted(bases, ids, "right") - 1
+        for j in range(len(bases)):
+            own = np.flatnonzero(p == j)
+            counts = np.asarray(self.vocab[j][2])
+            out[own] = counts[np.minimum(ids[own] - bases[j], len(counts) - 1)]
+        return out
+
+    def bigram(self, c: np.ndarray, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Probabilities of words seen ``c`` times after ``ctx``, whose id is the vocabulary's size at the begin of a text."""
+        n_ctx = np.where(ctx == self.size, self.docs, self.counts_of(np.minimum(ctx, self.size - 1)))
+        return (c + self.mu * self.unigram(self.counts_of(word))) / (n_ctx + self.mu)
+
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return (count.astype(float) + 0.1) / (self.total + 0.1 * (self.size + 1))
 
@@ -324,10 +386,25 @@ class Model:
         logp = base + np.log10(self.mu / (n_ctx + self.mu))
         both = np.flatnonzero((ids >= 0) & (ctx >= 0))
         key = ctx[both].astype(U) * U(self.size) + ids[both].astype(U)
+        place = np.full(len(h), -1, np.int64)
         for p, at in self._by_part(self.gram_low, key) if self.grams else ():
             seq, _, codes = self.grams[p]
             i, same = seq.rank(key[at])
             logp[both[at[same]]] = codes[i[same]] * -CODE
+            place[both[at[same]]] = i[same] + self.gram_first[p]
+        if self.order > 2 and len(h):
+            # contexts of two words that the training texts hold; a text's first word has none
+            before = np.concatenate([[-1], place[:-1]])
+            before[start] = -1
+            two = np.flatnonzero(before >= 0)
+            logp[two] += np.log10(self.mu / (self.of_places(before[two], "counts").astype(float) + self.mu))
+            # a trigram's last two words are a seen bigram
+            two = two[place[two] >= 0]
+            key = before[two].astype(U) * U(self.size) + ids[two].astype(U)
+            for p, at in self._by_part(self.triple_low, key) if self.triples else ():
+                seq, codes = self.triples[p]
+                i, same = seq.rank(key[at])
+                logp[two[at[same]]] = codes[i[same]] * -CODE
         sums = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  each row has a token
         return np.diff(first), sums((ids >= 0).astype(np.int64)), sums(base), sums(logp)
 
@@ -342,22 +419,52 @@ class Model:
         return out
 
 
-_OPEN: dict[tuple[str, int], Model] = {}
+def coded(prob: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(-np.log10(prob) / CODE), 0, 255).astype(np.uint8)
+
+
+_OPEN: dict[tuple[str, int, int], Model] = {}
 
 
 def opened(model: Model) -> Model:
-    """The model with its files mapped, once in a process; without level 2 it is another."""
-    key = model.uri, len(model.bigram_parts)
+    """The model with its files mapped, once in a process; without level 2 or 3 it is another."""
+    key = model.uri, len(model.bigram_parts), len(model.trigram_parts)
     if key not in _OPEN:
         _OPEN.clear()
         _OPEN[key] = model.open()
     return _OPEN[key]
 
 
-def fit(train: DataFrame, mu: float = MU, parts: int | None = None) -> Model:
+def marks(c: np.ndarray) -> dict:
+    """Sums of counts over at most 512 runs of keys, to cut the next level evenly."""
+    every = max(1, len(c) // 256)
+    return {"marks": np.add.reduceat(c, np.arange(0, len(c), every)).astype(np.int64).tolist(), "every": every}
+
+
+def even_cuts(rows: list, more: tuple[int, ...], size: int, parts: int, total: int, most: int = 8_000_000) -> np.ndarray:
+    """First keys of even ranges of a level: contexts by their counts, ``more`` ones last; within a context by word ids."""
+    at, ends, grown = [0], [0], 0
+    for r in rows:
+        first = at[-1]
+        for j, m in enumerate(r["marks"]):
+            grown += m
+            at.append(min(first + (j + 1) * r["every"], first + r["n"]))
+            ends.append(grown)
+    for n in more:
+        grown += n
+        at.append(at[-1] + 1)
+        ends.append(grown)
+    shards = max(parts, -(-total // most))
+    ctx = np.interp(np.arange(1, shards) * (ends[-1] / shards), ends, at)
+    return np.unique((np.floor(ctx).astype(object) * size + np.floor((ctx % 1) * size).astype(object)).astype(U))
+
+
+def fit(train: DataFrame, mu: float = MU, parts: int | None = None, order: int = 2) -> Model:
     """Build the trie of a table with a ``text`` column. Counts cover all its rows; files go to the shared folder.
 
-    What the driver gathers is one row a shard. Shards hold about 8 million tokens' keys, cut so that even one context's
+    ``order`` is 2 or 3, the longest n-grams that are counted.
+
+    What the driver gathers is one row a shard. Shards hold about 8 million tokens' keys (level 3: 4 million), cut so that even one context's
     successors may spread over several.
     """
     uri = shared_dir(train.sparkSession)
@@ -370,8 +477,7 @@ def fit(train: DataFrame, mu: float = MU, parts: int | None = None) -> Model:
     def build_vocab(part: int, k: np.ndarray, c: np.ndarray) -> dict:
         put(uri, f"vocab-{part}", EliasFano.build(k).pack() + c.tobytes())
         end = int(c[k == END].sum())
-        # running counts at every 1,024th word, to cut the next level evenly
-        return {"part": part, "n": len(k), "low": str(int(k[0])), "total": int(c.sum()), "docs": end, "marks": np.add.reduceat(c, np.arange(0, len(k), max(1, len(k) // 256))).astype(np.int64).tolist(), "every": max(1, len(k) // 256)}
+        return {"part": part, "n": len(k), "low": str(int(k[0])), "total": int(c.sum()), "docs": end, **marks(c)}
 
     cuts = np.array([(i << 64) // parts for i in range(1, parts)], U)
     vocab = counted(train, word_keys, cuts, build_vocab, "part int, n long, low string, total long, docs long, marks array<long>, every long", parts)
@@ -379,19 +485,7 @@ def fit(train: DataFrame, mu: float = MU, parts: int | None = None) -> Model:
     model = Model(uri, vocab, [], total, docs, mu)
     if not total:
         return model
-    # even cuts of level 2: contexts by their counts, the begin context last; within a context by word ids
-    at, ends, grown = [0], [0], 0
-    for r in vocab:
-        first = at[-1]
-        for j, m in enumerate(r["marks"]):
-            grown += m
-            at.append(min(first + (j + 1) * r["every"], first + r["n"]))
-            ends.append(grown)
-    at.append(size + 1)
-    ends.append(grown + docs)
-    shards = max(parts, -(-total // 8_000_000))
-    ctx = np.interp(np.arange(1, shards) * (ends[-1] / shards), ends, at)
-    cuts = np.unique((np.floor(ctx).astype(object) * size + np.floor((ctx % 1) * size).astype(object)).astype(U))
+    cuts = even_cuts(vocab, (docs,), size, parts, total)
 
     def gram_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         m = opened(model)
@@ -405,25 +499,52 @@ def fit(train: DataFrame, mu: float = MU, parts: int | None = None) -> Model:
     def build_grams(part: int, k: np.ndarray, c: np.ndarray) -> dict:
         m = opened(model)
         ctx, word = (k // U(size)).astype(np.int64), (k % U(size)).astype(np.int64)
-        counts = [np.asarray(x[2]) for x in m.vocab]
-        bases = np.array([x[0] for x in m.vocab])
-
-        def count_of(ids: np.ndarray) -> np.ndarray:
-            out, p = np.zeros(len(ids)), np.searchsorted(bases, ids, "right") - 1
-            for j in range(len(bases)):
-                own = np.flatnonzero(p == j)
-                out[own] = counts[j][np.minimum(ids[own] - bases[j], len(counts[j]) - 1)]
-            return out
-
-        n_ctx = np.where(ctx == size, docs, count_of(np.minimum(ctx, size - 1)))
-        prob = (c + mu * m.unigram(count_of(word))) / (n_ctx + mu)
-        codes = np.clip(np.rint(-np.log10(prob) / CODE), 0, 255).astype(np.uint8)
+        codes = coded(m.bigram(c, ctx, word))
         heads = np.concatenate([np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])), [len(k)]]).astype(U)
         put(uri, f"bigram-{part}", EliasFano.build(k).pack() + EliasFano.build(heads).pack() + codes.tobytes())
-        return {"part": part, "n": len(k), "low": str(int(k[0]))}
-
-    grams = counted(train, gram_keys, cuts, build_grams, "part int, n long, low string", len(cuts) + 1)
-    return Model(uri, vocab, grams, total, docs, mu)
+        if order > 2:
+            put(uri, f"bigram-counts-{part}", c.astype(U).tobytes())
+        return {"part": part, "n": len(k), "low": str(int(k[0])), **marks(c)}
+
+    level = "part int, n long, low string, marks array<long>, every long"
+    grams = counted(train, gram_keys, cuts, build_grams, level, len(cuts) + 1)
+    pairs = Model(uri, vocab, grams, total, docs, mu, order)
+    if order < 3:
+        return pairs
+    cuts = even_cuts(grams, (), size, parts, total, 4_000_000)
+
+    def triple_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        m = opened(pairs)
+        for _, buf, off in steps(batch, most=STEP):
+            h, first = ids_of(buf, off)
+            ids, _ = m.look_up(h, False)
+            c = np.concatenate([[0], ids[:-1]])
+            c[first[:-1]] = size
+            # the last word of a text, its end token, is no context; a text's first word has no context of two
+            last = np.ones(len(ids), bool)
+            last[first[1:] - 1] = False
+            at = np.flatnonzero(last)
+            yield m.places(c[at].astype(U) * U(size) + ids[at].astype(U)).astype(U) * U(size) + ids[at + 1].astype(U)
+
+    def build_triples(part: int, k: np.ndarray, c: np.ndarray) -> dict:
+        m = opened(pairs)
+        codes = []
+        for i in range(0, len(k), 1 << 20):  # what a slice needs besides its keys is many times them
+            own, n = k[i : i + (1 << 20)], c[i : i + (1 << 20)]
+            word = (own % U(size)).astype(np.int64)
+            heads = np.flatnonzero(np.concatenate([[True], own[1:] // U(size) != own[:-1] // U(size)]))
+            runs = np.diff(np.append(heads, len(own)))
+            place = (own[heads] // U(size)).astype(np.int64)
+            n_ctx = np.repeat(m.of_places(place, "counts").astype(float), runs)
+            ctx = np.repeat((m.of_places(place, "keys") % U(size)).astype(np.int64), runs)
+            lower = m.places(ctx.astype(U) * U(size) + word.astype(U))
+            prior = m.bigram(m.of_places(lower, "counts"), ctx, word)
+            codes.append(coded((n + mu * prior) / (n_ctx + mu)).tobytes())
+        put(uri, f"trigram-{part}", EliasFano.build(k).pack() + b"".join(codes))
+        return {"part": part, "n": len(k), "low": str(int(k[0])), "marks": [], "every": 1}
+
+    triples = counted(train, triple_keys, cuts, build_triples, level, len(cuts) + 1)
+    return Model(uri, vocab, grams, total, docs, mu, order, triples)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), extra: dict[str, Column] | None = None) -> DataFrame:
@@ -450,5 +571,5 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     rest = crc_mod("doc_id", 10)
-    model = fit(docs.where(rest != 0).select("text"))
+    model = fit(docs.where(rest != 0).select("text"), order=3)
     return score(docs, model, extra={"held_out": rest == 0})

@@ -85,3 +85,48 @@ def test_nothing_to_learn_from(spark):
     got = score(df, fit(df.where(F.lit(False)).select("text"))).collect()
     assert [r["n_known"] for r in got] == [0, 0] and all(r["train_tokens"] == 0 for r in got)
     assert all(math.isfinite(r["score"]) for r in got)
+
+
+def test_order_three_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, int(rng.integers(0, 60))) % 40)) for i in range(200)] + [(500, None), (501, ""), (502, "neverseen w1 w2 neverseen"), (503, "w1 " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rest = crc_mod("doc_id", 10)
+    model = fit(df.where(rest != 0).select("text"), parts=3, order=3)
+    got = {r["doc_id"]: r["score"] for r in score(df, model).collect()}
+    c, pairs, ctx = model_of(rows)
+    triples = Counter()
+    for i, t in rows:
+        if not held(i):
+            w = ["<s>", *tokens(t)]
+            triples.update(zip(w, w[1:], w[2:], strict=False))
+    n, v = sum(c.values()), len(c)
+    code = lambda q: -CODE * round(-math.log10(q) / CODE)
+    for i, t in rows:
+        w, want = ["<s>", *tokens(t)], 0.0
+        for j in range(1, len(w)):
+            a, b = w[j - 1], w[j]
+            two = (pairs[a, b] + MU * (c[b] + 0.1) / (n + 0.1 * (v + 1))) / (ctx[a] + MU)
+            part = code(two) if pairs[a, b] else math.log10(two)
+            seen = pairs[w[j - 2], a] if j > 1 else 0
+            if seen:
+                k = triples[w[j - 2], a, b]
+                part = code((k + MU * two) / (seen + MU)) if k else part + math.log10(MU / (seen + MU))
+            want += part
+        assert abs(got[i] - want) <= 1e-6 * abs(want) + CODE * 1.01 * 3
+
+
+def test_order_three_tells_texts_with_equal_pairs_apart(spark):
+    texts = ["a b c b d b e", "a b d b c b e"]  # the same pairs in another order
+    train = spark.createDataFrame([(i, texts[0]) for i in range(60)], "doc_id long, text string").select("text")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    two, three = ({r["doc_id"]: r["score"] for r in score(df, fit(train, parts=2, order=k)).collect()} for k in (2, 3))
+    assert abs(two[0] - two[1]) < 1e-9 and three[0] > three[1] + 0.5
+
+
+def test_elements_by_place():
+    rng = np.random.default_rng(3)
+    for v in (np.array([9], np.uint64), np.arange(1000, dtype=np.uint64), np.unique(rng.integers(0, 1 << 62, 3000).astype(np.uint64))):
+        seq, _ = EliasFano.view(np.frombuffer(EliasFano.build(v).pack(), np.uint8))
+        i = rng.permutation(len(v))
+        assert (seq.at(i) == v[i]).all()
