@@ -25,9 +25,9 @@ ROLES = set("navigation banner contentinfo complementary search form alert dialo
 MARKS = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|rail|widget|footer|header|masthead|comments?|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|pagination|pager|login|signup|toolbar|skip)(?:[\s_-]|$)"
 )
-#: An article element is dropped only as a comment or teaser; a class such as has-sidebar tells of layout, not of what is inside.
+#: An article element is dropped only as a comment or teaser; a class such as has-sidebar or content-sidebar-wrap tells of layout, not of what is inside.
 OF_ARTICLES = re.compile(r"(?i)(?:^|[_-])(?:comments?|repl(?:y|ies)|teaser|related|ads?|advert\w*|sponsor\w*)(?:[_-]|$)")
-LAYOUT = re.compile(r"(?i)(?:has|with|without|no|not|is|show|hide)[_-]")
+LAYOUT = re.compile(r"(?i)(?:.*[_-])?(?:with|without)[_-]|(?:has|no|not|is|show|hide)[_-]|(?:content|article)[_-](?:.*[_-])?(?:sidebar|side|aside|rail)[_-](?:wrap|wrapper|container|layout|grid|row)$")
 PIECE = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([!?][^>]*)>)")
 ATTR = re.compile(r"""(?i)(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
@@ -167,22 +167,58 @@ def measure(root: Node) -> list[Node]:
 CLIMB = 0.5
 
 
-def main_node(root: Node) -> Node:
-    """The block with the largest density sum, or an ancestor of it below the body.
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 
-    The threshold comes from the path to the body: an ancestor counts while its density is at least the body's and CLIMB of
-    the chosen block's, which takes in a title beside the paragraphs but no list of links.
+
+def main_nodes(root: Node) -> list[Node]:
+    """The block with the largest density sum or an ancestor of it, and the blocks beside it that are main text too, in order.
+
+    An ancestor below the body counts while its density is at least the body's and CLIMB of the chosen block's, which takes in
+    a title beside the paragraphs but no list of links. Inside an article or main element that is all. Else the body itself
+    counts if it keeps CLIMB of the chosen block's density. If lists of links thin it out, the least density on the path to it
+    is the threshold: blocks outside the chosen one that reach it are kept, and so is a heading right before a kept block.
     """
     nodes = measure(root)
     body = next((x for x in nodes if x.tag == "body"), root)
     best = max((x for x in nodes if x.tag in BLOCKS), key=lambda x: (x.total, x.density), default=body)
     threshold, top, x = max(body.density, CLIMB * best.density), best, best.up
+    path = [best]
     while x is not None and x is not body and x.tag not in ("html", "#root"):
         if x.density >= threshold or x.tag == "article":
             top = x
+        path.append(x)
         x = x.up
     # blocks and loose text straight in the body, or in no body at all
-    return body if best.total == 0 and best.density < body.density else top
+    if best.total == 0 and best.density < body.density:
+        return [body]
+    if best is body or (body.tag == "body" and x is not body) or any(p.tag in ("article", "main") for p in path):
+        return [top]
+    if body.density >= CLIMB * best.density:
+        return [body]
+    least = min(body.density, *(p.density for p in path[path.index(top) :]))
+    above, x = set(), top.up
+    while x is not None:
+        above.add(id(x))
+        x = x.up
+    kept: list[Node] = []
+    todo = [body]
+    while todo:
+        x = todo.pop()
+        if x is top or (id(x) not in above and x.tag in BLOCKS and x.density >= least and x.chars > 2 * x.links):
+            kept.append(x)
+            continue
+        todo += [k for k in reversed(x.kids) if isinstance(k, Node) and not k.drop]
+    # headings go with the kept block that follows them
+    own, out = set(map(id, kept)), []
+    for x in kept:
+        before: list[Node] = []
+        blocks = [k for k in x.up.kids if isinstance(k, Node) and not k.drop and k.tag in BLOCKS] if x.up is not None else []
+        for k in reversed(blocks[: next((i for i, k in enumerate(blocks) if k is x), 0)]):
+            if k.tag not in HEADINGS or id(k) in own:
+                break
+            before.append(k)
+        out += [*reversed(before), x]
+    return out
 
 
 def render(node: Node) -> str:
@@ -226,7 +262,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    return render(main_node(root))
+    return "\n".join(filter(None, map(render, main_nodes(root))))
 
 
 def extract_text(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -29,6 +29,32 @@ def test_lists_tables_and_case():
     assert t.split("\n") == ["T", "Some opening words stand here for length.", "one", "two", "a", "b"]
 
 
+def sections(*counts):
+    texts = [[f"Section {s} paragraph {i} " + "goes on with plain words " * 15 + "and ends." for i in range(n)] for s, n in enumerate(counts)]
+    return ["".join(f"<p>{t}</p>" for t in x) for x in texts], [t for x in texts for t in x]
+
+
+def test_sibling_sections_in_body():
+    (a, b), want = sections(5, 3)
+    for tag in ("section", "div"):
+        assert extract(page(f"<h1>A title</h1><{tag}>{a}</{tag}><{tag}>{b}</{tag}>")).split("\n") == ["A title", *want]
+
+
+def test_sibling_sections_beside_links():
+    (a, b, c), want = sections(5, 3, 1)
+    links = "<div class='x1'><ul>" + "".join(f"<li><a href='/{i}'>menu entry {i}</a></li>" for i in range(60)) + "</ul></div>"
+    inner = f"{links}<h1>A title</h1><section>{a}</section><h2>More</h2><section>{b}</section>{links}<div>{c}</div>{links}"
+    for x in (inner, f"<div>{inner}</div>"):
+        assert extract(page(x)).split("\n") == ["A title", *want[:5], "More", *want[5:]]
+        assert extract(f"<html>{x}</html>").split("\n") == extract(x).split("\n") == ["A title", *want[:5], "More", *want[5:]]
+
+
+def test_wrapper_of_content_and_sidebar():
+    for name in ("content-sidebar-wrap", "layout-with-sidebar"):
+        assert extract(page(f"<div class='{name}'><article><h1>Head</h1>{BODY}</article><div class='sidebar'><p>Not this text.</p></div></div>")).split("\n") == ["Head", *WANT]
+    assert extract(page(f"<div class='sidebar-wrap'><p>Not this.</p></div><article>{BODY}</article>")).split("\n") == WANT
+
+
 def test_rows(spark):
     rows = [(1, "u", page(f"<article>{BODY}</article>")), (2, None, None), (3, "u", ""), (4, "u", "no markup at all"), (4, "u", "no markup at all"), (None, "u", "<"), (6, "u", page("<article><p>" + "word " * 60_000 + "</article>"))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
