@@ -22,10 +22,14 @@ BLOCK, INDEX_BYTES = 16, 16 << 20
 FILTER_BITS = 20
 
 
-def halves(text: str) -> tuple[str, str]:
-    """Question and answer: up to and after the last question mark. Without one all is question."""
-    at = text.rfind("?")
-    return (text, "") if at < 0 else (text[: at + 1], text[at + 1 :])
+def halves(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the question's and the answer's words: up to and after the word that holds the last question mark. Without one
+    all is question."""
+    b = text.encode("utf-8", "replace")
+    h, _, start, _ = words(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+    at = b.rfind(b"?")
+    n = len(h) if at < 0 else int(np.searchsorted(start, at, "right"))
+    return h[:n], h[n:]
 
 
 def hashes(text: str) -> np.ndarray:
@@ -84,7 +88,7 @@ class Index:
             for j, x in zip(at.tolist(), w.tolist(), strict=True):
                 held = blocks[k // BLOCK].get(j, ([], [], 0.0))
                 blocks[k // BLOCK][j] = ([*held[0], k], [*held[1], x], max(held[2], x))
-            q, a = hashes(docs[k][2]), hashes(docs[k][3])
+            q, a = docs[k][2:]
             widths.append(tuple(min(SHINGLE, max(1, len(x))) for x in (q, a)))
             question.append(shingles(q))
             answer.append(shingles(a))

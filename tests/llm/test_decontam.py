@@ -70,3 +70,10 @@ def test_edges(spark):
     assert leaks(docs, bench.limit(0)).count() == 0
     assert sorted((r["doc_id"] or 0) for r in leaks(docs, bench).collect()) == [0, 3, 3, 5]
     assert leaks(docs.limit(0), bench).count() == 0
+
+
+def test_question_mark_inside_a_word(spark):
+    items = ["which colour is it?Blue", "read the page at site.org/x/?q=1 and say what stands in the first line", "what is one and one? it is two"]
+    df = spark.createDataFrame([(i, f"some words before {t} and some after") for i, t in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(df, bench).collect()} == {(i, i) for i in range(len(items))}
