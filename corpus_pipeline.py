@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tekstara.llm import decontam, langid, neardup, packing, quality
 from tekstara.llm.common import load, settle
@@ -23,10 +24,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the least id) of each group linked by five-word shingles at a similarity of 0.8; documents without an id stay."""
-    kept = neardup.near_duplicates(docs, k=5).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document (the least id) of each group linked by five-word shingles at a similarity of 0.8.
+
+    Rows that share an id are documents of their own. Rows without an id are compared with each other alone.
+    """
+    named, unnamed = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = neardup.near_duplicates(named, k=5).where("kept").select("doc_id")
+        one = named.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    else:
+        one = by_row(named)
+    return one if unnamed.isEmpty() else one.unionByName(by_row(unnamed))
+
+
+def by_row(docs: DataFrame) -> DataFrame:
+    """The row of the least id of each group, by a row key instead of the id; rows without words are grouped by id."""
+    rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = neardup.near_duplicates(rows, id_col="__row", k=5).join(rows.select("__row", "doc_id"), "__row")
+    empty = F.col("n_shingles") == 0
+    first = found.groupBy(F.when(~empty, F.col("component_id")).alias("c"), F.when(empty, F.col("doc_id")).alias("d")).agg(F.min(F.struct("doc_id", "__row"))["__row"].alias("__row"))
+    return rows.join(first.select("__row"), "__row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

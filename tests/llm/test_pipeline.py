@@ -64,3 +64,12 @@ def test_without_ids_and_repeated(spark, tmp_path):
     none = docs.selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars")
     got = corpus_pipeline.near_duplicates(spark, docs.union(docs).union(none), str(tmp_path)).collect()
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got) == [-1, -1, -1, 0, 1, 2]
+
+
+def test_near_duplicates_by_text_not_by_id(spark, tmp_path):
+    rows, _, _ = made(tmp_path, spark)
+    a, b, c, d = (rows[i][1] for i in range(4))
+    table = [(1, a), (1, b), (1, a), (2, b), (3, c), (None, d), (None, d), (None, c), (4, None), (4, None), (5, None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, a), (1, b), (3, c), (None, d), (None, c), (4, None), (5, None)]))
