@@ -10,11 +10,13 @@ from tekstara.llm.common import load, settle
 
 #: Least calibrated probability of a document's language.
 SURE = 0.5
+#: The quality rules without the longest length: no text leaves for its length alone.
+RULES = [r for r in quality.RULES if r[:2] != ("n_words", ">")]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality.good_rows(docs)
+    return quality.good_rows(docs, rules=RULES)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

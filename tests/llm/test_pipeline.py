@@ -73,3 +73,13 @@ def test_near_duplicates_by_text_not_by_id(spark, tmp_path):
     docs = spark.createDataFrame(table, "doc_id long, text string")
     got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, a), (1, b), (3, c), (None, d), (None, c), (4, None), (5, None)]))
+
+
+def test_long_documents_stay(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    text = " ".join(rng.choice(["the", "of", *(f"word{i}" for i in range(3000))], 100_500))
+    docs = spark.createDataFrame([(1, text), (2, "too short")], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()] == []  # stop words are too few
+    text = " ".join(x if i % 4 else "the" for i, x in enumerate(text.split()))
+    docs = spark.createDataFrame([(1, text), (2, "too short")], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()] == [1]
