@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import lithuanian as lt
 from ..functions.text import common_prefix, fold_ascii, lemma_script
@@ -189,10 +190,14 @@ def fold_restores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def spelling_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = word_table(spark, sf_dir).select(F.col("word").alias("form"), "freq")
-    # queries: every word seen once, as if mistyped, against words seen five times or more
-    rare = words.where("freq = 1").select(F.col("form").alias("qid"), F.col("form").alias("word"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast("string").alias("next"))
-    return spelling.suggest(rare, words.where("freq >= 5")).select("qid", "kind", F.array_join("corrections", ",").alias("corrections"), "autofix")
+    # queries: every word with each pair of neighbours it has, against words seen twice or more (the reference's least count)
+    words = word_table(spark, sf_dir).where("freq >= 2").select(F.col("word").alias("form"), "freq")
+    t = doc_tokens(spark, sf_dir).select("doc_id", "pos", "token")
+    w = W.partitionBy("doc_id").orderBy("pos")
+    found = t.select(F.lag("token").over(w).alias("prev"), F.col("token").alias("word"), F.lead("token").over(w).alias("next")).distinct()
+    # the id is the words themselves; no token holds a ^
+    queries = found.withColumn("qid", F.concat_ws(" ", *[F.coalesce(c, F.lit("^")) for c in ("prev", "word", "next")]))
+    return spelling.suggest(queries, words, spelling.bigrams(t)).select("qid", "word", "kind", F.array_join("corrections", ",").alias("corrections"), "autofix")
 
 
 @query()

@@ -20,3 +20,13 @@ def test_bigrams_up_to_the_reference_bound(spark, tmp_path):
     sf = documents(spark, tmp_path, [" ".join(words)] * 2)
     got = entry.queries()["bigram_table"](spark, sf)
     assert got.count() == 25_000 and got.where("n <> 2").count() == 0
+
+
+def test_all_words_are_spelling_queries(spark, tmp_path):
+    texts = ["naujas žodis eina"] * 100 + ["naujas zodis eina"] * 2 + ["vienas namas", "vienas namss"] + ["vienas namas"] * 5
+    sf = documents(spark, tmp_path, texts)
+    got = {r["qid"]: (r["kind"], r["corrections"], r["autofix"]) for r in entry.queries()["spelling_suggestions"](spark, sf).collect()}
+    assert got["naujas zodis eina"] == ("restore", "žodis", "žodis")  # a known word that another one dominates
+    assert got["naujas žodis eina"][0] == got["^ naujas žodis"][0] == "ok"
+    assert got["vienas namss ^"][:2] == ("typo", "namas")
+    assert len(got) == 10
