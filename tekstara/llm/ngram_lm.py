@@ -1,23 +1,28 @@
 """Language-model scoring: an Elias-Fano n-gram trie in memory-mapped levels with quantised smoothed probabilities.
 
-Level 1 is the vocabulary: word hashes in order, as Elias-Fano sequences over hash ranges; a word's id is its place. Level 2
-holds each context's successors: a successor's value is its word id relative to its context's base (context id times the
-vocabulary's size), which makes the whole level one increasing sequence, split by value into shards. Monotone pointers, again
-Elias-Fano, give each context's first successor. A query looks for the least value not below base + word id. Level 3 is counted
-the same way and keyed by the place of its first two words in level 2: place times the vocabulary's size plus word id.
-Probabilities are smoothed with a Dirichlet prior whose mean is the next lower level's model and stored as 8-bit codes. A word
-that isn't seen after its context gets the lower level's probability times the prior's share of that context.
+Level 1 is the vocabulary: word hashes in order, as Elias-Fano sequences over hash ranges; a word's id is its place. A node of
+level 2 is a word after a context of one word (or the begin of a text), a node of level 3 a word after a node of level 2. A
+level holds its nodes by context, then by word id, in shards. A node's value is its word id relative to its context's base
+(context times the vocabulary's size), so a shard is one increasing sequence. Monotone pointers, again Elias-Fano, give the
+place of each context's first successor: a query takes its context's range from them and looks in that range for the least
+value not below the word's (``Level.find``). Where it is equal, its place is the context for the next level.
+
+Probabilities are smoothed with a Dirichlet prior whose mean is the next lower level's stored probability, and stored as 8-bit
+codes. A word that isn't seen after its context gets the lower level's probability times the prior's share of that context,
+which level 2 stores with 16 bits for the contexts of level 3.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
@@ -29,9 +34,11 @@ from .common import crc_mod, load, map_arrow, shared_dir, steps, words
 #: Hash of the end token; a word whose hash is this one counts as it.
 END = np.uint64(0x9D5C2F1B7A3E4C61)
 MU = 200.0
-#: Codes are steps of 0.05 in log10.
-CODE = 0.05
+#: Codes of probabilities are steps of 0.05 in log10, codes of the prior's share steps of 0.0002.
+CODE, SHARE = 0.05, 0.0002
 FLUSH = 3_000_000
+#: Tokens whose keys a shard of level 2 or 3 holds.
+SHARD = 4_000_000
 STEP = 4 << 20
 #: Words of high bits in a block; each block stores how many zeros stand before it.
 BLOCK_WORDS = 4
@@ -39,6 +46,11 @@ _ALL = np.uint64((1 << 64) - 1)
 U = np.uint64
 
 
+def store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a URI; Hadoop's names of the S3 scheme are Arrow's s3."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+
+
 def put(uri: str, name: str, data: bytes) -> None:
     """Write a whole file, then give it its name: a repeated task writes the same file again."""
     if urlparse(uri).scheme in ("", "file"):
@@ -48,7 +60,7 @@ def put(uri: str, name: str, data: bytes) -> None:
             f.write(data)
         os.replace(tmp, f"{at}/{name}")
         return
-    fs, at = pafs.FileSystem.from_uri(uri)
+    fs, at = store(uri)
     fs.create_dir(at, recursive=True)
     with fs.open_output_stream(tmp := f"{at}/.{name}.{uuid.uuid4().hex}") as f:
         f.write(data)
@@ -59,7 +71,7 @@ def mapped(uri: str, name: str) -> np.ndarray:
     """The file's bytes, memory-mapped. From a store without local paths it is fetched to an unlinked local file first."""
     if urlparse(uri).scheme in ("", "file"):
         return np.memmap(f"{urlparse(uri).path}/{name}", np.uint8, "r")
-    fs, at = pafs.FileSystem.from_uri(uri)
+    fs, at = store(uri)
     with fs.open_input_stream(f"{at}/{name}") as f, tempfile.NamedTemporaryFile() as local:
         while chunk := f.read(8 << 20):
             local.write(chunk)
@@ -72,6 +84,7 @@ class EliasFano:
 
     def __init__(self, n: int, base: int, low_bits: int, top: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray) -> None:
         self.n, self.base, self.l, self.top, self.low, self.high, self.zeros = n, base, low_bits, top, low, high, zeros
+        self.ones: np.ndarray | None = None
 
     @staticmethod
     def build(values: np.ndarray) -> EliasFano:
@@ -149,41 +162,54 @@ class EliasFano:
         over = np.where(s > 0, self.low[w + 1] << ((U(64) - s) & U(63)), U(0))
         return ((self.low[w] >> s) | over) & U((1 << self.l) - 1)
 
-    def rank(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Successor search: index of the first element not below each value (n if none), and whether it equals it."""
-        out, same = np.full(len(values), self.n, np.int64), np.zeros(len(values), bool)
-        if not self.n:
-            return out, same
+    def seek(self, values: np.ndarray, a: np.ndarray | int = 0, b: np.ndarray | int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Successor search in places [a, b) of each value (none: all): place of the first element not below it, b if there is
+        none, and whether it equals it. Values in order are found faster, as neighbours share memory."""
+        n = len(values)
+        end = np.full(n, self.n if b is None else b, np.int64)
+        out, same = end.copy(), np.zeros(n, bool)
+        lo = np.full(n, a, np.int64)
         early = values < U(self.base)
         v = np.where(early, U(0), values - U(self.base))
-        up, low = (v >> U(self.l)).astype(np.int64), v & U((1 << self.l) - 1)
-        at = np.flatnonzero((v >> U(self.l)) <= U(self.top))
-        u = up[at]
-        pos = np.zeros(len(at), U)
+        up = v >> U(self.l)
+        at = np.flatnonzero(~early & (up <= U(self.top)) & (lo < end))
+        out[early] = lo[early]
+        if not len(at):
+            return out, same
+        u, want = up[at], v[at] & U((1 << self.l) - 1)
+        # the first place whose high part is not below the value's own
+        i = np.zeros(len(at), np.int64)
         later = np.flatnonzero(u > 0)
-        pos[later] = self._zero(u[later] - 1) + U(1)
-        i = pos.astype(np.int64) - u
-        # the run of elements with the value's own high part: a binary search of their low bits
-        stop = self._zero(u).astype(np.int64) - u
-        end, want = stop.copy(), low[at]
-        live = np.flatnonzero(i < end)
-        while len(live):
-            mid = (i[live] + end[live]) >> 1
-            below = self._low(mid) < want[live]
-            i[live] = np.where(below, mid + 1, i[live])
-            end[live] = np.where(below, end[live], mid)
-            live = live[i[live] < end[live]]
-        # an element at i with another high part is above the value and no equal
-        inside = np.flatnonzero(i < stop)
-        same[at[inside]] = self._low(i[inside]) == want[inside]
-        out[at] = i
-        out[early], same[early] = 0, False
+        i[later] = (self._zero(u[later] - U(1)) + U(1) - u[later]).astype(np.int64)
+        i = np.maximum(i, lo[at])
+        # whether a place holds an element with that high part: its bit is set
+        spot = i + u.astype(np.int64)
+        live = np.flatnonzero((i < end[at]) & ((self.high[spot >> 6] >> (spot & 63).astype(U)) & U(1) == 1))
+        low = self._low(i[live])
+        hit = low == want[live]
+        same[at[live[hit]]] = True
+        live = live[low < want[live]]
+        if len(live):  # a longer run: a binary search of its low bits
+            stop = np.minimum((self._zero(u[live]) - u[live]).astype(np.int64), end[at[live]])
+            x, y, w = i[live] + 1, stop.copy(), want[live]
+            todo = np.flatnonzero(x < y)
+            while len(todo):
+                mid = (x[todo] + y[todo]) >> 1
+                below = self._low(mid) < w[todo]
+                x[todo] = np.where(below, mid + 1, x[todo])
+                y[todo] = np.where(below, y[todo], mid)
+                todo = todo[x[todo] < y[todo]]
+            inside = np.flatnonzero(x < stop)
+            same[at[live[inside]]] = self._low(x[inside]) == w[inside]
+            i[live] = x
+        out[at] = np.minimum(i, end[at])
         return out, same
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """The elements at places ``i``."""
-        ones = np.arange(len(self.zeros), dtype=U) * U(64 * BLOCK_WORDS) - self.zeros
-        return ((self._nth(i, ones, U(0)) - i.astype(U)) << U(self.l)) + self._low(i) + U(self.base)
+        if self.ones is None:
+            self.ones = np.arange(len(self.zeros), dtype=U) * U(64 * BLOCK_WORDS) - self.zeros
+        return ((self._nth(i, self.ones, U(0)) - i.astype(U)) << U(self.l)) + self._low(i) + U(self.base)
 
     def values(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
@@ -243,8 +269,6 @@ def counted(docs: DataFrame, grams, cuts: np.ndarray, build, schema: str, parts:
             yield flush()
 
     def receive(pdf):
-        import pandas as pd
-
         k: np.ndarray = np.zeros(0, U)
         c = np.zeros(0, U)
         ks, cs, more = [], [], 0
@@ -275,16 +299,57 @@ def ids_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and each key's place among them."""
+    code, some = pd.factorize(keys)
+    order = np.argsort(some)
+    place = np.empty(len(some), np.int64)
+    place[order] = np.arange(len(some))
+    return some[order], place[code]
+
+
+class Level:
+    """A shard of level 2 or 3: the nodes from ``first`` on, those of contexts ``low`` to ``low + pointers.n - 2``."""
+
+    def __init__(self, data: np.ndarray, first: int, low: int, size: int, shares: bool) -> None:
+        self.first, self.low, self.size = first, low, size
+        self.nodes, end = EliasFano.view(data)
+        self.pointers, more = EliasFano.view(data[end:])
+        self.codes = data[end + more : end + more + self.nodes.n]
+        at = end + more + -(-self.nodes.n // 8) * 8
+        self.shares = data[at : at + 2 * self.nodes.n].view(np.uint16) if shares else None
+
+    @staticmethod
+    def pack(keys: np.ndarray, size: int, codes: np.ndarray, shares: np.ndarray | None = None) -> bytes:
+        ctx = (keys // U(size)).astype(np.int64)
+        low = int(ctx[0])
+        pointers = np.concatenate([[0], np.cumsum(np.bincount(ctx - low))]).astype(U)
+        parts = [EliasFano.build(keys).pack(), EliasFano.build(pointers).pack(), codes.tobytes(), bytes(-len(keys) % 8)]
+        return b"".join(parts + ([shares.tobytes()] if shares is not None else []))
+
+    def ranges(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the successors of contexts of this shard begin and end, by the pointers."""
+        c = ctx - self.low
+        points, at = np.unique(np.concatenate([c, c + 1]), return_inverse=True)
+        found = self.pointers.at(points).astype(np.int64)[at]
+        return found[: len(c)], found[len(c) :]
+
+    def find(self, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in this shard of words after contexts, both in order, and whether they are there."""
+        new = np.concatenate([[True], ctx[1:] != ctx[:-1]])
+        heads = np.flatnonzero(new)
+        a, b = self.ranges(ctx[heads])
+        runs = np.diff(np.append(heads, len(ctx)))
+        return self.nodes.seek(ctx.astype(U) * U(self.size) + word.astype(U), np.repeat(a, runs), np.repeat(b, runs))
+
+
 class Model:
     """The trie's files; arrays are mapped on first use in a process."""
 
-    def __init__(self, uri: str, vocab: list, bigrams: list, total: int, docs: int, mu: float, order: int = 2, trigrams: list | tuple = ()) -> None:
-        self.uri, self.total, self.docs, self.mu = uri, total, docs, mu
+    def __init__(self, uri: str, vocab: list, levels: list[list], total: int, docs: int, mu: float, order: int) -> None:
+        self.uri, self.total, self.docs, self.mu, self.order = uri, total, docs, mu, order
         self.vocab_parts = [(r["part"], r["n"], r["low"]) for r in vocab if r["n"]]
-        self.bigram_parts = [(r["part"], r["low"]) for r in bigrams if r["n"]]
-        self.bigram_sizes = [r["n"] for r in bigrams if r["n"]]
-        self.trigram_parts = [(r["part"], r["low"]) for r in trigrams if r["n"]]
-        self.order = order
+        self.level_parts = [[(r["part"], r["n"], r["low"]) for r in rows if r["n"]] for rows in levels]
         self.size = sum(r["n"] for r in vocab)
 
     def open(self) -> Model:
@@ -295,127 +360,119 @@ class Model:
             self.vocab.append((at, seq, data[end:].view(U)))
             at += n
         self.vocab_low = np.array([int(x[2]) for x in self.vocab_parts], U)
-        self.grams = []
-        for part, _ in self.bigram_parts:
-            data = mapped(self.uri, f"bigram-{part}")
-            seq, end = EliasFano.view(data)
-            pointers, more = EliasFano.view(data[end:])
-            self.grams.append((seq, pointers, data[end + more :]))
-        self.gram_low = np.array([int(x[1]) for x in self.bigram_parts], U)
-        self.gram_first = np.concatenate([[0], np.cumsum(self.bigram_sizes)]).astype(np.int64)
-        self.gram_counts = [mapped(self.uri, f"bigram-counts-{part}").view(U) for part, _ in self.bigram_parts] if self.order > 2 else []
-        self.triples = []
-        for part, _ in self.trigram_parts:
-            data = mapped(self.uri, f"trigram-{part}")
-            seq, end = EliasFano.view(data)
-            self.triples.append((seq, data[end:]))
-        self.triple_low = np.array([int(x[1]) for x in self.trigram_parts], U)
+        self.levels: list[list[Level]] = []
+        self.lows: list[np.ndarray] = []
+        for k, parts in enumerate(self.level_parts, 2):
+            own, at = [], 0
+            for part, n, low in parts:
+                own.append(Level(mapped(self.uri, f"level{k}-{part}"), at, int(low) // self.size, self.size, k < self.order))
+                at += n
+            self.levels.append(own)
+            self.lows.append(np.array([int(x[2]) for x in parts], U))
         return self
 
-    @staticmethod
-    def _by_part(lows: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        part = np.searchsorted(lows, values, "right") - 1
-        if len(lows) == 1:
-            yield 0, np.flatnonzero(part == 0)
-            return
-        order = np.argsort(part.astype(np.int32), kind="stable")
-        at = np.searchsorted(part[order], np.arange(len(lows) + 1))
-        for p in range(len(lows)):
-            if at[p + 1] > at[p]:
-                yield p, order[at[p] : at[p + 1]]
-
-    def look_up(self, h: np.ndarray, want_counts: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word ids (-1: unknown) and counts of hashes."""
-        ids, count = np.full(len(h), -1, np.int64), np.zeros(len(h), U)
-        if len(self.vocab):
-            for p, at in self._by_part(self.vocab_low, h):
-                base, seq, counts = self.vocab[p]
-                i, same = seq.rank(h[at])
-                good = at[same]
-                ids[good] = i[same] + base
-                if want_counts:
-                    count[good] = counts[i[same]]
-        return ids, count
-
-    def places(self, key: np.ndarray) -> np.ndarray:
-        """Places in level 2 of keys (-1: not seen)."""
-        out = np.full(len(key), -1, np.int64)
-        for p, at in self._by_part(self.gram_low, key) if self.grams else ():
-            i, same = self.grams[p][0].rank(key[at])
-            out[at[same]] = i[same] + self.gram_first[p]
-        return out
-
-    def of_places(self, place: np.ndarray, want: str) -> np.ndarray:
-        """Counts or keys of places in level 2."""
-        out, part = np.zeros(len(place), U), np.searchsorted(self.gram_first, place, "right") - 1
-        for p in np.unique(part):
-            at = np.flatnonzero(part == p)
-            i = place[at] - self.gram_first[p]
-            out[at] = self.gram_counts[p][i] if want == "counts" else self.grams[p][0].at(i)
-        return out
-
-    def counts_of(self, ids: np.ndarray) -> np.ndarray:
-        """Counts of word ids."""
-        bases = np.array([x[0] for x in self.vocab])
-        out, p = np.zeros(len(ids)), np.searchsorted(bases, ids, "right") - 1
-        for j in range(len(bases)):
-            own = np.flatnonzero(p == j)
-            counts = np.asarray(self.vocab[j][2])
-            out[own] = counts[np.minimum(ids[own] - bases[j], len(counts) - 1)]
-        return out
-
-    def bigram(self, c: np.ndarray, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Probabilities of words seen ``c`` times after ``ctx``, whose id is the vocabulary's size at the begin of a text."""
-        n_ctx = np.where(ctx == self.size, self.docs, self.counts_of(np.minimum(ctx, self.size - 1)))
-        return (c + self.mu * self.unigram(self.counts_of(word))) / (n_ctx + self.mu)
+        some, at = once(h)
+        ids, count = np.full(len(some), -1, np.int64), np.zeros(len(some), U)
+        cut = np.append(np.searchsorted(some, self.vocab_low), len(some))
+        for (base, seq, counts), a, b in zip(self.vocab, cut, cut[1:], strict=False):
+            if b > a:
+                i, same = seq.seek(some[a:b])
+                own = a + np.flatnonzero(same)
+                ids[own], count[own] = i[same] + base, counts[i[same]]
+        return ids[at], count[at]
+
+    def find(self, k: int, ctx: np.ndarray, word: np.ndarray, want: str = "codes") -> tuple[np.ndarray, np.ndarray]:
+        """Of nodes of level ``k``: places (-1: not there) and their codes (or shares)."""
+        place, got = np.full(len(ctx), -1, np.int64), np.zeros(len(ctx), np.uint16)
+        if not len(ctx) or len(self.levels) < k - 1 or not self.levels[k - 2]:
+            return place, got
+        some, at = once(ctx.astype(U) * U(self.size) + word.astype(U))
+        of, out = np.full(len(some), -1, np.int64), np.zeros(len(some), np.uint16)
+        cut = np.append(np.searchsorted(some, self.lows[k - 2]), len(some))
+        for part, a, b in zip(self.levels[k - 2], cut, cut[1:], strict=False):
+            c = (some[a:b] // U(self.size)).astype(np.int64)
+            # keys behind the shard's last context are in no shard
+            b = a + int(np.searchsorted(c, part.low + part.pointers.n - 1))
+            if b > a:
+                i, same = part.find(c[: b - a], (some[a:b] % U(self.size)).astype(np.int64))
+                own = a + np.flatnonzero(same)
+                of[own] = i[same] + part.first
+                out[own] = (part.codes if want == "codes" else part.shares)[i[same]]
+        return of[at], out[at]
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return (count.astype(float) + 0.1) / (self.total + 0.1 * (self.size + 1))
 
+    def contexts(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Each token's context of one word: the id before it, the vocabulary's size at the begin of a text."""
+        ctx = np.concatenate([[0], ids[:-1]])
+        ctx[first[:-1]] = self.size
+        return ctx
+
     def score(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each row: tokens, known tokens, base score, score."""
         h, first = ids_of(buf, off)
         ids, count = self.look_up(h)
-        p1 = self.unigram(count)
-        base = np.log10(p1)
-        start = np.zeros(len(h), bool)
-        start[first[:-1]] = True
-        ctx = np.concatenate([[0], ids[:-1]])
+        base = np.log10(self.unigram(count))
+        ctx = self.contexts(ids, first)
         n_ctx = np.concatenate([[0], count[:-1]]).astype(float)
-        ctx[start], n_ctx[start] = self.size, self.docs
+        n_ctx[first[:-1]] = self.docs
         logp = base + np.log10(self.mu / (n_ctx + self.mu))
         both = np.flatnonzero((ids >= 0) & (ctx >= 0))
-        key = ctx[both].astype(U) * U(self.size) + ids[both].astype(U)
         place = np.full(len(h), -1, np.int64)
-        for p, at in self._by_part(self.gram_low, key) if self.grams else ():
-            seq, _, codes = self.grams[p]
-            i, same = seq.rank(key[at])
-            logp[both[at[same]]] = codes[i[same]] * -CODE
-            place[both[at[same]]] = i[same] + self.gram_first[p]
+        place[both], codes = self.find(2, ctx[both], ids[both])
+        seen = place >= 0
+        logp[both] = np.where(seen[both], codes * -CODE, logp[both])
         if self.order > 2 and len(h):
             # contexts of two words that the training texts hold; a text's first word has none
             before = np.concatenate([[-1], place[:-1]])
-            before[start] = -1
+            before[first[:-1]] = -1
             two = np.flatnonzero(before >= 0)
-            logp[two] += np.log10(self.mu / (self.of_places(before[two], "counts").astype(float) + self.mu))
+            logp[two] -= self.shares_of(before[two]) * SHARE
             # a trigram's last two words are a seen bigram
-            two = two[place[two] >= 0]
-            key = before[two].astype(U) * U(self.size) + ids[two].astype(U)
-            for p, at in self._by_part(self.triple_low, key) if self.triples else ():
-                seq, codes = self.triples[p]
-                i, same = seq.rank(key[at])
-                logp[two[at[same]]] = codes[i[same]] * -CODE
+            two = two[seen[two]]
+            node, codes = self.find(3, before[two], ids[two])
+            logp[two] = np.where(node >= 0, codes * -CODE, logp[two])
         sums = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  each row has a token
         return np.diff(first), sums((ids >= 0).astype(np.int64)), sums(base), sums(logp)
 
+    def shares_of(self, place: np.ndarray) -> np.ndarray:
+        """Codes of the prior's shares of nodes of level 2."""
+        firsts = np.array([x.first for x in self.levels[0]])
+        if len(firsts) == 1:
+            return self.levels[0][0].shares[place]
+        out, part = np.zeros(len(place), np.uint16), np.searchsorted(firsts, place, "right") - 1
+        order = np.argsort(part)
+        cut = np.searchsorted(part[order], np.arange(len(firsts) + 1))
+        for level, a, b in zip(self.levels[0], cut, cut[1:], strict=False):
+            own = order[a:b]
+            out[own] = level.shares[place[own] - level.first]
+        return out
+
+    def words_of(self, place: np.ndarray) -> np.ndarray:
+        """Word ids of nodes of level 2, whose places are in order."""
+        firsts = np.array([*(x.first for x in self.levels[0]), 1 << 62])
+        cut = np.searchsorted(place, firsts)
+        return np.concatenate([np.zeros(0, np.int64), *(((x.nodes.at(place[a:b] - x.first)) % U(self.size)).astype(np.int64) for x, a, b in zip(self.levels[0], cut, cut[1:], strict=False))])
+
+    def counts_of(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of word ids; the begin of a text counts as often as there are texts."""
+        out, p = np.full(len(ids), float(self.docs)), np.searchsorted([x[0] for x in self.vocab] + [self.size], ids, "right") - 1
+        for j, (base, _, counts) in enumerate(self.vocab):
+            own = np.flatnonzero(p == j)
+            out[own] = counts[ids[own] - base]
+        return out
+
     def successors(self, ctx: int) -> list[tuple[int, float]]:
-        """(word id, log10 probability) of a context's seen successors, by the pointers."""
+        """(word id, log10 probability) of a word's seen successors, by the pointers."""
         out = []
-        for seq, pointers, codes in self.grams:
-            heads = seq.values()[pointers.values()[:-1].astype(np.int64)] // U(self.size) if seq.n else np.zeros(0, U)
-            for c in np.flatnonzero(heads == ctx):
-                a, b = pointers.values()[c : c + 2].astype(np.int64)
-                out += [(int(v - U(ctx * self.size)), -CODE * float(q)) for v, q in zip(seq.values()[a:b], codes[a:b], strict=True)]
+        for part in self.levels[0]:
+            if part.low <= ctx < part.low + part.pointers.n - 1:
+                (a,), (b,) = part.ranges(np.array([ctx]))
+                word = (part.nodes.at(np.arange(a, b)) - U(ctx * self.size)).tolist()
+                out += [(int(w), -CODE * float(q)) for w, q in zip(word, part.codes[a:b], strict=True)]
         return out
 
 
@@ -423,12 +480,12 @@ def coded(prob: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(prob) / CODE), 0, 255).astype(np.uint8)
 
 
-_OPEN: dict[tuple[str, int, int], Model] = {}
+_OPEN: dict[tuple[str, int], Model] = {}
 
 
 def opened(model: Model) -> Model:
-    """The model with its files mapped, once in a process; without level 2 or 3 it is another."""
-    key = model.uri, len(model.bigram_parts), len(model.trigram_parts)
+    """The model with its files mapped, once in a process; with fewer levels it is another."""
+    key = model.uri, sum(map(len, model.level_parts))
     if key not in _OPEN:
         _OPEN.clear()
         _OPEN[key] = model.open()
@@ -441,7 +498,7 @@ def marks(c: np.ndarray) -> dict:
     return {"marks": np.add.reduceat(c, np.arange(0, len(c), every)).astype(np.int64).tolist(), "every": every}
 
 
-def even_cuts(rows: list, more: tuple[int, ...], size: int, parts: int, total: int, most: int = 8_000_000) -> np.ndarray:
+def even_cuts(rows: list, more: tuple[int, ...], size: int, total: int, most: int) -> np.ndarray:
     """First keys of even ranges of a level: contexts by their counts, ``more`` ones last; within a context by word ids."""
     at, ends, grown = [0], [0], 0
     for r in rows:
@@ -454,24 +511,24 @@ def even_cuts(rows: list, more: tuple[int, ...], size: int, parts: int, total: i
         grown += n
         at.append(at[-1] + 1)
         ends.append(grown)
-    shards = max(parts, -(-total // most))
+    shards = -(-total // most)
     ctx = np.interp(np.arange(1, shards) * (ends[-1] / shards), ends, at)
     return np.unique((np.floor(ctx).astype(object) * size + np.floor((ctx % 1) * size).astype(object)).astype(U))
 
 
-def fit(train: DataFrame, mu: float = MU, parts: int | None = None, order: int = 2) -> Model:
+def fit(train: DataFrame, mu: float = MU, parts: int | None = None, order: int = 2, most: int = SHARD) -> Model:
     """Build the trie of a table with a ``text`` column. Counts cover all its rows; files go to the shared folder.
 
-    ``order`` is 2 or 3, the longest n-grams that are counted.
-
-    What the driver gathers is one row a shard. Shards hold about 8 million tokens' keys (level 3: 4 million), cut so that even one context's
-    successors may spread over several.
+    ``order`` is 2 or 3, the longest n-grams that are counted. What the driver gathers is one row a shard. A shard of levels 2
+    and 3 holds the keys of about ``most`` tokens, however large the table is, cut so that even one context's successors may
+    spread over several. Null and empty texts count as their end token; repeated rows count each; an empty table gives a model
+    of no words.
     """
     uri = shared_dir(train.sparkSession)
-    parts = parts or max(8, train.rdd.getNumPartitions() // 2)
+    parts = parts or max(8, train.rdd.getNumPartitions())
 
     def word_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, buf, off in steps(batch, most=STEP):
+        for _, buf, off in steps(batch, most=STEP, rows=1 << 20):
             yield ids_of(buf, off)[0]
 
     def build_vocab(part: int, k: np.ndarray, c: np.ndarray) -> dict:
@@ -482,85 +539,73 @@ def fit(train: DataFrame, mu: float = MU, parts: int | None = None, order: int =
     cuts = np.array([(i << 64) // parts for i in range(1, parts)], U)
     vocab = counted(train, word_keys, cuts, build_vocab, "part int, n long, low string, total long, docs long, marks array<long>, every long", parts)
     total, docs, size = sum(r["total"] for r in vocab), sum(r["docs"] for r in vocab), sum(r["n"] for r in vocab)
-    model = Model(uri, vocab, [], total, docs, mu)
-    if not total:
-        return model
-    cuts = even_cuts(vocab, (docs,), size, parts, total)
-
-    def gram_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        m = opened(model)
-        for _, buf, off in steps(batch, most=STEP):
-            h, first = ids_of(buf, off)
-            ids, _ = m.look_up(h, False)
-            c = np.concatenate([[0], ids[:-1]])
-            c[first[:-1]] = size
-            yield c.astype(U) * U(size) + ids.astype(U)
-
-    def build_grams(part: int, k: np.ndarray, c: np.ndarray) -> dict:
-        m = opened(model)
-        ctx, word = (k // U(size)).astype(np.int64), (k % U(size)).astype(np.int64)
-        codes = coded(m.bigram(c, ctx, word))
-        heads = np.concatenate([np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])), [len(k)]]).astype(U)
-        put(uri, f"bigram-{part}", EliasFano.build(k).pack() + EliasFano.build(heads).pack() + codes.tobytes())
-        if order > 2:
-            put(uri, f"bigram-counts-{part}", c.astype(U).tobytes())
-        return {"part": part, "n": len(k), "low": str(int(k[0])), **marks(c)}
-
     level = "part int, n long, low string, marks array<long>, every long"
-    grams = counted(train, gram_keys, cuts, build_grams, level, len(cuts) + 1)
-    pairs = Model(uri, vocab, grams, total, docs, mu, order)
-    if order < 3:
-        return pairs
-    cuts = even_cuts(grams, (), size, parts, total, 4_000_000)
-
-    def triple_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        m = opened(pairs)
-        for _, buf, off in steps(batch, most=STEP):
-            h, first = ids_of(buf, off)
-            ids, _ = m.look_up(h, False)
-            c = np.concatenate([[0], ids[:-1]])
-            c[first[:-1]] = size
-            # the last word of a text, its end token, is no context; a text's first word has no context of two
-            last = np.ones(len(ids), bool)
-            last[first[1:] - 1] = False
-            at = np.flatnonzero(last)
-            yield m.places(c[at].astype(U) * U(size) + ids[at].astype(U)).astype(U) * U(size) + ids[at + 1].astype(U)
-
-    def build_triples(part: int, k: np.ndarray, c: np.ndarray) -> dict:
-        m = opened(pairs)
-        codes = []
-        for i in range(0, len(k), 1 << 20):  # what a slice needs besides its keys is many times them
-            own, n = k[i : i + (1 << 20)], c[i : i + (1 << 20)]
-            word = (own % U(size)).astype(np.int64)
-            heads = np.flatnonzero(np.concatenate([[True], own[1:] // U(size) != own[:-1] // U(size)]))
-            runs = np.diff(np.append(heads, len(own)))
-            place = (own[heads] // U(size)).astype(np.int64)
-            n_ctx = np.repeat(m.of_places(place, "counts").astype(float), runs)
-            ctx = np.repeat((m.of_places(place, "keys") % U(size)).astype(np.int64), runs)
-            lower = m.places(ctx.astype(U) * U(size) + word.astype(U))
-            prior = m.bigram(m.of_places(lower, "counts"), ctx, word)
-            codes.append(coded((n + mu * prior) / (n_ctx + mu)).tobytes())
-        put(uri, f"trigram-{part}", EliasFano.build(k).pack() + b"".join(codes))
-        return {"part": part, "n": len(k), "low": str(int(k[0])), "marks": [], "every": 1}
-
-    triples = counted(train, triple_keys, cuts, build_triples, level, len(cuts) + 1)
-    return Model(uri, vocab, grams, total, docs, mu, order, triples)
+    models = [Model(uri, vocab, [], total, docs, mu, order)]
+
+    def keys_of(k: int, model: Model):
+        def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            m = opened(model)
+            for _, buf, off in steps(batch, most=STEP, rows=1 << 20):
+                h, first = ids_of(buf, off)
+                ids, _ = m.look_up(h)
+                ctx = m.contexts(ids, first)
+                if k > 2:
+                    # the last word of a text, its end token, is no context; a text's first word has no context of two
+                    at = np.ones(len(ids), bool)
+                    at[first[1:] - 1] = False
+                    at = np.flatnonzero(at)
+                    ctx, _ = m.find(2, ctx[at], ids[at])
+                    ids = ids[at + 1]
+                yield ctx.astype(U) * U(size) + ids.astype(U)
+
+        return keys
+
+    def builder(k: int, model: Model):
+        def build(part: int, keys: np.ndarray, c: np.ndarray) -> dict:
+            m, codes, shares = opened(model), [], []
+            for i in range(0, len(keys), 1 << 20):  # what a slice needs besides its keys is many times them
+                own, n = keys[i : i + (1 << 20)], c[i : i + (1 << 20)].astype(float)
+                ctx, word = (own // U(size)).astype(np.int64), (own % U(size)).astype(np.int64)
+                if k == 2:
+                    prior, n_ctx = m.unigram(m.counts_of(word)), m.counts_of(ctx)
+                    shares.append(np.clip(np.rint(np.log10((n + mu) / mu) / SHARE), 0, 65535).astype(np.uint16))
+                else:
+                    heads = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+                    runs = np.diff(np.append(heads, len(ctx)))
+                    last = np.repeat(m.words_of(ctx[heads]), runs)
+                    prior = 10.0 ** (-CODE * m.find(2, last, word)[1])
+                    n_ctx = mu * 10.0 ** (SHARE * np.repeat(m.shares_of(ctx[heads]), runs).astype(float)) - mu
+                codes.append(coded((n + mu * prior) / (n_ctx + mu)))
+            put(uri, f"level{k}-{part}", Level.pack(keys, size, np.concatenate(codes), np.concatenate(shares) if k < order else None))
+            return {"part": part, "n": len(keys), "low": str(int(keys[0])), **marks(c)}
+
+        return build
+
+    if total:
+        rows, more, found = vocab, (docs,), []
+        for k in range(2, order + 1):
+            cuts = even_cuts(rows, more, size, total, most)
+            rows, more = counted(train, keys_of(k, models[-1]), cuts, builder(k, models[-1]), level, len(cuts) + 1), ()
+            found.append(rows)
+            models.append(Model(uri, vocab, list(found), total, docs, mu, order))
+    return models[-1]
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), extra: dict[str, Column] | None = None) -> DataFrame:
     """``keep`` columns, ``extra`` ones and n_tokens, n_known, train_tokens, base_score, score of every row of ``df``.
 
-    A null or empty text is its end token alone. With an empty training table every token is unknown.
+    A null or empty text is its end token alone. With an empty training table every token is unknown. Repeated rows are scored
+    alike; an empty table gives an empty result; other columns of ``df``, whatever their names, are ignored.
     """
     extra = extra or {}
-    cols = df.select(*[df[c].alias(c) for c in keep], *[e.alias(c) for c, e in extra.items()], df[text].alias("text"))
+    cols = df.select(*[df[c].alias(c) for c in keep], *[e.alias(c) for c, e in extra.items()], df[text].alias("__text"))
     kept = cols.columns[:-1]
     total = model.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = opened(model)
         for batch in batches:
-            for b, buf, off in steps(batch, most=STEP):
+            for b, buf, off in steps(batch, "__text", most=STEP, rows=1 << 20):
                 n, known, base, full = m.score(buf, off)
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total), pa.int64()), pa.array(base), pa.array(full)], names=[*kept, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
