@@ -70,13 +70,29 @@ def put(uri: str, name: str, data: bytes) -> None:
 def mapped(uri: str, name: str) -> np.ndarray:
     """The file's bytes, memory-mapped. From a store without local paths it is fetched to an unlinked local file first."""
     if urlparse(uri).scheme in ("", "file"):
-        return np.memmap(f"{urlparse(uri).path}/{name}", np.uint8, "r")
+        return np.asarray(np.memmap(f"{urlparse(uri).path}/{name}", np.uint8, "r"))
     fs, at = store(uri)
     with fs.open_input_stream(f"{at}/{name}") as f, tempfile.NamedTemporaryFile() as local:
         while chunk := f.read(8 << 20):
             local.write(chunk)
         local.flush()
-        return np.memmap(local.name, np.uint8, "r")
+        return np.asarray(np.memmap(local.name, np.uint8, "r"))
+
+
+_BYTES, _TOPS = U(0x0101010101010101), U(0x8080808080808080)
+#: Place of the k-th one of a byte, at 8 * byte + k.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], U).ravel()
+
+
+def select(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one (from 0) of each word, which must have it: the byte by running counts, then a table."""
+    x = bits - ((bits >> U(1)) & U(0x5555555555555555))
+    x = (x & U(0x3333333333333333)) + ((x >> U(2)) & U(0x3333333333333333))
+    x = ((x + (x >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * _BYTES
+    # a byte's top bit stays where no more than k ones stand in it and below
+    place = np.bitwise_count(((k * _BYTES | _TOPS) - x) & _TOPS).astype(U) << U(3)
+    k = k - (((x << U(8)) >> place) & U(255))
+    return place + _IN_BYTE[((((bits >> place) & U(255)) << U(3)) + k).astype(np.int64)]
 
 
 class EliasFano:
@@ -144,15 +160,7 @@ class EliasFano:
             bits[todo] = self.high[word[todo]] ^ flip
             count[todo] = np.bitwise_count(bits[todo])
             todo = todo[left[todo] >= count[todo]]
-        out = word.astype(U) << U(6)
-        for s in (32, 16, 8, 4, 2, 1):
-            low = bits & U((1 << s) - 1)
-            c = np.bitwise_count(low).astype(U)
-            go = left >= c
-            left -= np.where(go, c, U(0))
-            bits = np.where(go, bits >> U(s), low)
-            out += np.where(go, U(s), U(0))
-        return out
+        return (word.astype(U) << U(6)) + select(bits, left)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -211,6 +219,22 @@ class EliasFano:
             self.ones = np.arange(len(self.zeros), dtype=U) * U(64 * BLOCK_WORDS) - self.zeros
         return ((self._nth(i, self.ones, U(0)) - i.astype(U)) << U(self.l)) + self._low(i) + U(self.base)
 
+    def pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The elements at places ``i`` and at the places after them: the next one of the high bits needs no second search."""
+        if self.ones is None:
+            self.at(i[:1])
+        spot = self._nth(i, self.ones, U(0))
+        word = (spot >> U(6)).astype(np.int64)
+        rest = self.high[word] & (_ALL << (spot & U(63))) & ~(U(1) << (spot & U(63)))
+        todo = np.flatnonzero(rest == 0)
+        while len(todo):
+            word[todo] += 1
+            rest[todo] = self.high[word[todo]]
+            todo = todo[rest[todo] == 0]
+        after = (word.astype(U) << U(6)) + np.bitwise_count((rest & (~rest + U(1))) - U(1)).astype(U)
+        element = lambda spot, i: ((spot - i.astype(U)) << U(self.l)) + self._low(i) + U(self.base)
+        return element(spot, i), element(after, i + 1)
+
     def values(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
         return ((ones - np.arange(self.n)).astype(U) << U(self.l)) + self._low(np.arange(self.n)) + U(self.base)
@@ -241,7 +265,7 @@ def tally(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tup
     return k[at], np.add.reduceat(c, at) if len(at) else c
 
 
-def counted(docs: DataFrame, grams, cuts: np.ndarray, build, schema: str, parts: int) -> list:
+def counted(docs: DataFrame, grams, cuts: np.ndarray, build, schema: str) -> list:
     """Count 64-bit keys of all documents and hand each range of keys, sorted and summed, to ``build`` in one task.
 
     ``grams(batch)`` yields arrays of keys. Tasks sum what they hold before they send it, as compressed sorted blocks; ``cuts``
@@ -283,7 +307,8 @@ def counted(docs: DataFrame, grams, cuts: np.ndarray, build, schema: str, parts:
             k, c = tally([k, *ks], [c, *cs])
         return pd.DataFrame([build(int(pdf["part"].iloc[0]), k, c)])
 
-    sent = map_arrow(docs, send, "part int, keys binary, counts binary")
+    # a fixed number of tasks, which adaptive execution doesn't merge: what one reads doesn't grow with the table
+    sent = map_arrow(docs, send, "part int, keys binary, counts binary").repartition(2 * (len(cuts) + 1), "part")
     return sorted(sent.groupBy("part").applyInPandas(receive, schema).collect(), key=lambda r: r["part"])
 
 
@@ -329,10 +354,8 @@ class Level:
 
     def ranges(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the successors of contexts of this shard begin and end, by the pointers."""
-        c = ctx - self.low
-        points, at = np.unique(np.concatenate([c, c + 1]), return_inverse=True)
-        found = self.pointers.at(points).astype(np.int64)[at]
-        return found[: len(c)], found[len(c) :]
+        a, b = self.pointers.pairs(ctx - self.low)
+        return a.astype(np.int64), b.astype(np.int64)
 
     def find(self, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in this shard of words after contexts, both in order, and whether they are there."""
@@ -537,7 +560,7 @@ def fit(train: DataFrame, mu: float = MU, parts: int | None = None, order: int =
         return {"part": part, "n": len(k), "low": str(int(k[0])), "total": int(c.sum()), "docs": end, **marks(c)}
 
     cuts = np.array([(i << 64) // parts for i in range(1, parts)], U)
-    vocab = counted(train, word_keys, cuts, build_vocab, "part int, n long, low string, total long, docs long, marks array<long>, every long", parts)
+    vocab = counted(train, word_keys, cuts, build_vocab, "part int, n long, low string, total long, docs long, marks array<long>, every long")
     total, docs, size = sum(r["total"] for r in vocab), sum(r["docs"] for r in vocab), sum(r["n"] for r in vocab)
     level = "part int, n long, low string, marks array<long>, every long"
     models = [Model(uri, vocab, [], total, docs, mu, order)]
@@ -585,7 +608,7 @@ def fit(train: DataFrame, mu: float = MU, parts: int | None = None, order: int =
         rows, more, found = vocab, (docs,), []
         for k in range(2, order + 1):
             cuts = even_cuts(rows, more, size, total, most)
-            rows, more = counted(train, keys_of(k, models[-1]), cuts, builder(k, models[-1]), level, len(cuts) + 1), ()
+            rows, more = counted(train, keys_of(k, models[-1]), cuts, builder(k, models[-1]), level), ()
             found.append(rows)
             models.append(Model(uri, vocab, list(found), total, docs, mu, order))
     return models[-1]
