@@ -143,16 +143,18 @@ def frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from columns text and lang (neither null). Weights come from about ``sample_rows`` texts of each language, chosen by
-    a hash of the text; four fifths fit the weights, the rest the temperature."""
-    counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Learn from columns text and lang (neither null). Weights come from about ``sample_rows`` distinct texts of each language
+    (all, if it has no more), chosen by a hash of the text, so copies count once and no language is without a text; four fifths
+    of each language's fit the weights, the rest the temperature. Ties between languages go to the first by name."""
+    counts = {r["lang"]: max(1, r["n"]) for r in train.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((DIM, 0)), np.zeros(0))
     df, rows = frequencies(train)
     idf = np.log((1 + rows) / (1 + df)) + 1
     spread = 1_000_000
-    share = F.create_map(*[F.lit(x) for c in langs for x in (c, min(spread, -(-sample_rows * spread // counts[c])))])
+    # the estimate of a small number of texts may be too high: up to twice the sample all are taken
+    share = F.create_map(*[F.lit(x) for c in langs for x in (c, spread if counts[c] <= 2 * sample_rows else -(-sample_rows * spread // counts[c]))])
     # copies count once, however many there are, so the sample stays bounded
     picked = train.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(spread)) < F.element_at(share, F.col("lang"))).distinct()
 
@@ -177,7 +179,8 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     for _, i, c in data:
         i, c = np.frombuffer(i, np.int32), np.frombuffer(c, np.int32)
         xs.append((i, SCALE * c / c.sum() * idf[i]))
-    held = np.arange(len(xs)) % 5 == 4
+    # the place within the language decides, so that each has texts to learn from
+    held = (np.arange(len(xs)) - np.searchsorted(ys, ys)) % 5 == 4
     w, bias = ftrl([x for x, h in zip(xs, held, strict=True) if not h], ys[~held], len(langs))
     heat = 1.0
     if held.any():
@@ -192,7 +195,9 @@ SCALE = 100.0
 def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), extra: dict[str, Column] | None = None) -> DataFrame:
     """``keep`` columns, ``extra`` ones, lang_pred and score (the calibrated probability) of every row; only the text is read for it.
 
-    A null text or one without a letter is ``und`` with score 0, as is every text if nothing was learned.
+    A null text or one without a letter is ``und`` with score 0, as is every text if nothing was learned. Repeated rows are
+    predicted alike; of equally likely languages the first by name is taken; an empty table gives an empty result. Columns of
+    ``df`` that aren't kept may have any name; kept ones must not be called as the added ones.
     """
     cols = df.select(*[df[c].alias(c) for c in keep], *[e.alias(c) for c, e in (extra or {}).items()], df[text].alias("__text"))
     kept, kinds = cols.columns[:-1], dict(cols.dtypes)

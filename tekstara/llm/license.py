@@ -30,7 +30,10 @@ FAMILIES = [
     (2, "gpl agpl eupl cc-by-nc cc-by-nd sspl"),
     (0, "mit apache bsd isc zlib bsl boost unlicense cc0 cc-by public-domain 0bsd python psf"),
 ]
-TAG = re.compile(r"(?i)spdx[^a-z0-9\x80-\U0010ffff]+license[^a-z0-9\x80-\U0010ffff]+identifier[ \t]*:?[ \t]*([^\r\n]*)")
+TAG = "spdx license identifier"
+WORDS = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
+#: What stands between a tag and its expression, and where the expression ends at the latest.
+LEAD, LINE = re.compile(r"[ \t]*:?[ \t]*"), re.compile(r"[^\r\n]*")
 TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 RANK = {"or": 1, "and": 2, "with": 3}
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -102,7 +105,7 @@ class Scanner:
 
     def __init__(self, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES) -> None:
         self.machine = ahocorasick.Automaton()
-        for kind, phrases in ((0, base), (1, notices), (2, {"spdx license identifier": ""})):
+        for kind, phrases in ((0, base), (1, notices), (2, {TAG: ""})):
             for p, label in phrases.items():
                 key = f" {p} "
                 self.machine.add_word(key, (*self.machine.get(key, ()), (kind, label, len(key))))
@@ -118,13 +121,27 @@ class Scanner:
             seen += line.count(" ", at, start + 1)
             at = start + 1
             spans.append((kind, seen, label))
+        return len(ws), spans, self.expressions(text or "", [w for k, w, _ in spans if k == 2])
+
+    def expressions(self, text: str, places: list[int]) -> list[tuple[str, int | None, list[str]]]:
+        """(expression, restriction, names) of the tags whose first words the automaton found at ``places``.
+
+        An expression runs from the tag to the end of its line or to the next tag, if that is on the same line.
+        """
+        if not places:
+            return []
+        starts, ends, wanted = {}, {}, set(places) | {w + TAG.count(" ") for w in places}
+        for i, m in enumerate(WORDS.finditer(text)):
+            if i in wanted:
+                starts[i], ends[i] = m.start(), m.end()
         tags = []
-        if any(k == 2 for k, _, _ in spans):
-            for m in TAG.finditer(text):
-                post = to_postfix(m[1])
-                level, names = evaluate(post) if post else (None, [])
-                tags.append((m[1].strip(), level, names))
-        return len(ws), spans, tags
+        for w, after in zip(places, [*places[1:], None], strict=True):
+            at = LEAD.match(text, ends[w + TAG.count(" ")]).end()
+            end = LINE.match(text, at).end()
+            said = text[at : end if after is None else max(at, min(end, starts[after]))].strip()
+            post = to_postfix(said)
+            tags.append((said, *(evaluate(post) if post else (None, []))))
+        return tags
 
 
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string, restriction int"

@@ -43,3 +43,34 @@ def test_temperature_cools_overconfident_scores():
     scores = rng.normal(size=(500, 3)) * 8
     scores[np.arange(500), ys] += 6
     assert temperature(scores, ys) > 1
+
+
+def test_language_of_copies_is_learned(spark):
+    rows = [(i, t, c) for i, t, c in corpus(50) if c == "en"] + [(1000 + i, "zyx wvu tsr qpo zyx nml", "xx") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = fitted(df)
+    assert model.langs == ["en", "xx"]
+    got = {(r["doc_id"] >= 1000, r["lang_pred"]) for r in predict(df, model).collect()}
+    assert got == {(False, "en"), (True, "xx")}
+
+
+def test_predictions_against_brute_force(spark):
+    """The batch prediction equals one gram after another by hand, for the learned table."""
+    import unicodedata
+
+    from tekstara.llm.langid import BITS
+
+    rows = [*corpus(20), (2000, "É" + "a b" * 50, None), (2001, "x", None), (2002, "ß 9 Ü", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fitted(df)
+    got = {r["doc_id"]: r for r in predict(df, model).collect()}
+    for i, t, _ in rows:
+        low = [ord(ch.lower()) if unicodedata.category(ch)[0] == "L" else 0 for ch in t] + [0]
+        z, n = model.bias.astype(float).copy(), 0
+        for j, c in enumerate(low):
+            b1, b2 = (low[j - 1] if j else 0), (low[j - 2] if j > 1 else 0)
+            for h in (c, c * 40503 + b1 * 2246822519 + 17, c * 40503 + b1 * 2246822519 + b2 * 3266489917 + 91):
+                n += 1
+                z += model.table[(h * 2654435761 % (1 << 32)) >> (32 - BITS)] / (3 * len(low))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert n == 3 * len(low) and abs(p.max() - got[i]["score"]) < 1e-4 and (p.max() - np.sort(p)[-2] < 1e-4 or model.langs[p.argmax()] == got[i]["lang_pred"])

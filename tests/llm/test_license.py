@@ -48,3 +48,14 @@ def test_tags():
     n, spans, tags = Scanner().scan("// SPDX-License-Identifier: (MIT OR Apache-2.0)\nCode")
     assert tags == [("(MIT OR Apache-2.0)", 0, ["mit", "apache-2.0"])]
     assert any(k == 2 for k, _, _ in spans)
+
+
+def test_two_tags_on_a_line():
+    _, _, tags = Scanner().scan("// SPDX-License-Identifier: MIT // SPDX-License-Identifier: GPL-3.0\nSPDX License\n Identifier\tBSD-3-Clause é SPDX-License-Identifier:")
+    assert [t[1:] for t in tags] == [(0, ["mit"]), (2, ["gpl-3.0"]), (0, ["bsd-3-clause"]), (None, [])]
+
+
+def test_tag_far_into_a_long_text(spark):
+    text = "Ünï wörds " * 200_000 + "SPDX-License-Identifier: Apache-2.0 OR MIT\n" + "tail " * 1000
+    r = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert (r["expressions"], r["labels"], r["restriction"]) == ("Apache-2.0 OR MIT", "apache-2.0,mit", 0)

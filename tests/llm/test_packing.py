@@ -15,7 +15,7 @@ def test_bounds_are_optimal():
         for _ in range(20):
             lengths = rng.integers(0, 30, rng.integers(1, 25))
             v, c = np.unique(lengths, return_counts=True)
-            bounds = best_bounds(v, c, v * c, k)
+            bounds = best_bounds(v, c, k)
             least = min(padding(lengths, [*s, v[-1]]) for r in range(min(k, len(v))) for s in combinations(v[:-1].tolist(), r))
             assert len(bounds) <= k and padding(lengths, bounds) == least
 
@@ -40,3 +40,28 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
     assert pack(df).count() == 3
     assert pack(df.limit(0)).count() == 0
+
+
+def test_long_clustered_lengths_are_packed_best(spark):
+    rng = np.random.default_rng(9)
+    for _ in range(3):
+        lengths = np.concatenate([rng.integers(c, c + 40, 12) for c in rng.integers(2_000, 20_000, 5)])
+        df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "doc_id long, n long")
+        rows = pack(df, length=df["n"], buckets=4).collect()
+        v = np.unique(lengths).tolist()
+        # brute force over all sets of bounds by a plain recurrence
+        cost = lambda i, j: sum(v[j] - n for n in lengths.tolist() if v[i] <= n <= v[j])
+        best = [cost(0, j) for j in range(len(v))]
+        for _k in range(3):
+            best = [min([best[j]] + [best[i] + cost(i + 1, j) for i in range(j)]) for j in range(len(v))]
+        assert sum(r["padding"] for r in rows) == best[-1]
+
+
+def test_many_lengths_take_little_time():
+    import time
+
+    rng = np.random.default_rng(10)
+    n = np.unique(rng.integers(1, 1 << 30, 200_000))
+    began = time.time()
+    assert len(best_bounds(n, np.ones(len(n), np.int64), 12)) == 12
+    assert time.time() - began < 30
