@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import load, map_arrow, steps, windows, words
+from .common import load, map_arrow, settle, steps, windows, words
 
 K1, B = 1.2, 0.75
 SHINGLE, OVERLAP = 5, 0.8
-#: Essential terms of an item beyond those it may lack.
-SPARE = 4
 #: Items of a block; bytes of item text in one index. A larger test set is met in several indexes, one after the other.
-BLOCK, INDEX_BYTES = 16, 16 << 20
+BLOCK, INDEX_BYTES = 4, 16 << 20
+#: The lightest terms of a block, up to this share of its least threshold, name no passage by themselves.
+LIGHT = 0.2
+#: Entries of block lists that are looked at in one step.
+ENTRIES = 4_000_000
 FILTER_BITS = 20
 
 
@@ -41,19 +45,43 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return np.unique(windows(h, np.array([0, len(h)]), SHINGLE)[0])
 
 
+@dataclass
+class Stats:
+    """What BM25 weights take from the whole test set, however many indexes it is split into."""
+
+    terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    df: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    n: int = 0
+    size: int = 0
+
+    def add(self, texts: list[str]) -> None:
+        own = [h for h in map(hashes, texts) if len(h)]
+        self.n += len(own)
+        self.size += sum(map(len, own))
+        terms, at = np.unique(np.concatenate([self.terms, *map(np.unique, own)]), return_inverse=True)
+        self.df = np.bincount(at, np.concatenate([self.df, np.ones(len(at) - len(self.df), np.int64)]), minlength=len(terms)).astype(np.int64)
+        self.terms = terms
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.df[np.searchsorted(self.terms, terms)]
+        return np.log(1 + (self.n - df + 0.5) / (df + 0.5))
+
+
 @dataclass
 class Index:
-    """Postings by block of items and term, and each item's essential terms: its heaviest ones, as flat lists by term."""
+    """Postings by block of items and term with the largest weights of blocks, and lists of blocks by term for their maxima."""
 
     ids: list
     terms: np.ndarray
     #: for each block, term number to (items, weights, largest weight)
     blocks: list[dict[int, tuple[list[int], list[float], float]]]
+    #: least threshold of each block's items, and what of it the block's listed terms must bring
     least: np.ndarray
+    listed: np.ndarray
+    #: by term: its first entry, and the entries' blocks and largest weights
     first: np.ndarray
-    of_item: np.ndarray
+    of_block: np.ndarray
     of_weight: np.ndarray
-    essential: np.ndarray
     need: np.ndarray
     full: np.ndarray
     question: list[np.ndarray]
@@ -63,25 +91,28 @@ class Index:
     maybe: np.ndarray = field(repr=False, default_factory=lambda: np.zeros(0, bool))
 
     @staticmethod
-    def build(rows: list[tuple]) -> Index:
+    def build(rows: list[tuple], stats: Stats | None = None) -> Index:
         """rows: (id, text); items without words take no part.
 
         An item's threshold is the least score that a passage with enough of its shingles can have: the item's own score less
-        its heaviest terms, as many (L) as there are shingles that may be missing, since a term is only lost with a shingle of
-        it. Its essential terms are the L + SPARE heaviest: a passage at the threshold holds at least the weight of the SPARE
-        lightest of them.
+        its heaviest terms, as many as there are shingles that may be missing, since a term is only lost with a shingle of it.
+        A block's lightest terms, whose largest weights sum to no more than LIGHT of its least threshold, aren't listed: the
+        others must bring the rest.
         """
+        if stats is None:
+            stats = Stats()
+            stats.add([t for _, t in rows])
         docs = [(i, hashes(t), *halves(t)) for i, t in rows]
         docs = [d for d in docs if len(d[1])]
         n = len(docs)
         size = np.array([len(d[1]) for d in docs], float)
-        mean = size.mean() if n else 1.0
+        mean = stats.size / max(stats.n, 1) or 1.0
         tf = [np.unique(d[1], return_counts=True) for d in docs]
-        terms, df = np.unique(np.concatenate([t for t, _ in tf]) if n else np.zeros(0, np.uint64), return_counts=True)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        terms = np.unique(np.concatenate([t for t, _ in tf])) if n else np.zeros(0, np.uint64)
+        idf = stats.idf(terms)
         blocks: list[dict] = [{} for _ in range(-(-n // BLOCK))]
-        full, need, essential = np.zeros(n), np.zeros(n), np.zeros(n)
-        question, answer, widths, flat = [], [], [], []
+        full, need = np.zeros(n), np.zeros(n)
+        question, answer, widths = [], [], []
         for k, (t, c) in enumerate(tf):
             at = np.searchsorted(terms, t)
             w = idf[at] * c * (K1 + 1) / (c + K1 * (1 - B + B * size[k] / mean))
@@ -93,19 +124,24 @@ class Index:
             question.append(shingles(q))
             answer.append(shingles(a))
             lost = int((1 - OVERLAP) * len(question[k]) + 1e-9) + int((1 - OVERLAP) * len(answer[k]) + 1e-9)
-            heavy = np.argsort(-w, kind="stable")[: lost + SPARE]
             full[k] = w.sum()
-            need[k] = full[k] - w[heavy[:lost]].sum()
-            essential[k] = w[heavy[lost:]].sum()
-            flat += [(int(at[h]), k, float(w[h])) for h in heavy]
-        flat.sort()
-        e_term = np.array([x[0] for x in flat], np.int64)
+            need[k] = full[k] - np.sort(w)[::-1][:lost].sum()
+        sure = 1 - 1e-6
+        least = np.array([need[i : i + BLOCK].min() for i in range(0, n, BLOCK)]) * sure
+        listed, entries = least.copy(), []
+        for b, held in enumerate(blocks):
+            for top, j in sorted((x[2], j) for j, x in held.items()):
+                if not entries or entries[-1][1] != b:  # only lighter terms so far
+                    if least[b] - listed[b] + top <= LIGHT * least[b]:
+                        listed[b] -= top
+                        continue
+                entries.append((j, b, top))
+        entries.sort()
         maybe = np.zeros(1 << FILTER_BITS, bool)
         maybe[(terms >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        sure = 1 - 1e-6
         return Index(
-            [d[0] for d in docs], terms, blocks, np.array([need[i : i + BLOCK].min() for i in range(0, n, BLOCK)]) * sure, np.searchsorted(e_term, np.arange(len(terms) + 1)),
-            np.array([x[1] for x in flat], np.int64), np.array([x[2] for x in flat]), essential * sure, need * sure, full, question, answer, int(size.max(initial=1)), widths, maybe,
+            [d[0] for d in docs], terms, blocks, least, listed * sure, np.searchsorted(np.array([e[0] for e in entries], np.int64), np.arange(len(terms) + 1)),
+            np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries]), need * sure, full, question, answer, int(size.max(initial=1)), widths, maybe,
         )
 
     def wand(self, query: list[int], blocks: list[int]) -> list[tuple[int, float]]:
@@ -164,30 +200,19 @@ class Index:
         base = np.concatenate([[0], np.cumsum(strides)])
         owner = np.searchsorted(row, hit, "right") - 1
         cell = base[owner] + (hit - row[owner]) // stride
-        # essential terms: each hit counts for the items it is essential to, in the two passages that hold its stride
-        many = self.first[t + 1] - self.first[t]
-        hits = np.repeat(np.arange(len(t)), many)
-        entry = np.arange(len(hits)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[t], many)
+        # distinct terms of each passage; a stride is in the passage that starts with it and in the one before
         starts = np.zeros(base[-1] + 1, bool)
         starts[base[:-1]] = True
-        inner = np.flatnonzero(~starts[cell[hits]])
-        passage = np.concatenate([cell[hits], cell[hits[inner]] - 1])
-        entry = np.concatenate([entry, entry[inner]])
-        _, once = np.unique(passage * len(self.of_item) + entry, return_index=True)
-        pair, at = np.unique(passage[once] * len(self.ids) + self.of_item[entry[once]], return_inverse=True)
-        weight = np.bincount(at, self.of_weight[entry[once]], minlength=len(pair))
-        pair = pair[weight >= self.essential[pair % len(self.ids)]]
-        if not len(pair):
+        inner = np.flatnonzero(~starts[cell])
+        seen = np.unique(np.concatenate([cell, cell[inner] - 1]) * len(self.terms) + np.concatenate([t, t[inner]]))
+        live, blocks = self.bounded(seen // len(self.terms), seen % len(self.terms))
+        if not len(live):
             return []
-        live, starts_at = np.unique(pair // len(self.ids), return_index=True)
-        at = np.searchsorted(cell, np.arange(base[-1] + 2))
-        last = np.zeros(base[-1], bool)
-        last[base[1:] - 1] = True
+        at = np.searchsorted(seen, np.concatenate([live, live + 1]) * len(self.terms)).reshape(2, -1)
         of = np.searchsorted(base, live, "right") - 1
         best: dict[tuple[int, int], tuple[float, float, float | None]] = {}
-        for c, r, own in zip(live, of, np.split(pair % len(self.ids), starts_at[1:]), strict=True):
-            seen = np.unique(t[at[c] : at[c + (1 if last[c] else 2)]]).tolist()
-            found = self.wand(seen, sorted({int(i) // BLOCK for i in own}))
+        for c, r, lo, hi, block in zip(live, of, *at, blocks, strict=True):
+            found = self.wand((seen[lo:hi] % len(self.terms)).tolist(), [int(block)])
             if not found:
                 continue
             lo = row[r] + (c - base[r]) * stride
@@ -199,6 +224,27 @@ class Index:
                     best[key] = max(best[key], new, key=lambda x: (x[1], x[0])) if key in best else new
         return [(r, i, *x) for (r, i), x in best.items()]
 
+    def bounded(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) of all pairs in which the largest weights of a passage's listed terms reach what the block needs."""
+        many = self.first[term + 1] - self.first[term]
+        out = [np.zeros((2, 0), np.int64)]
+        ends = np.cumsum(many)
+        lo = 0
+        while lo < len(term):  # whole passages, up to ENTRIES entries of lists in one step or one passage
+            done = ends[lo] - many[lo]
+            hi = max(int(np.searchsorted(ends, done + ENTRIES, "right")), lo + 1)
+            if hi < len(term):
+                back = int(np.searchsorted(passage, passage[hi]))
+                hi = back if back > lo else int(np.searchsorted(passage, passage[lo], "right"))
+            own = many[lo:hi]
+            hits = np.repeat(np.arange(lo, hi), own)
+            entry = np.arange(len(hits)) - np.repeat(np.cumsum(own) - own, own) + np.repeat(self.first[term[lo:hi]], own)
+            pair, at = np.unique((passage[hits] - passage[lo]) * len(self.blocks) + self.of_block[entry], return_inverse=True)
+            good = pair[np.bincount(at, self.of_weight[entry], minlength=len(pair)) >= self.listed[pair % len(self.blocks)]]
+            out.append(np.stack([good // len(self.blocks) + passage[lo], good % len(self.blocks)]))
+            lo = hi
+        return tuple(np.concatenate(out, 1))  # type: ignore[return-value]
+
     def verify(self, item: int, h: np.ndarray, have: np.ndarray) -> tuple[float, float | None] | None:
         """Shares of the question's and the answer's shingles in a passage, if both reach OVERLAP. An item part of under five words is one shingle."""
 
@@ -221,10 +267,13 @@ def leaks(df: DataFrame, items: DataFrame, text: str = "text", id_col: str = "do
     Every passage of every text is a query; every item at or above its threshold is verified: at least 0.8 of the five-word
     shingles of its question, and of its answer if it has one, occur in the passage (lower-cased A-Z, white space alone
     separates words). Null or empty texts and items match nothing; repeated rows are found once each; empty tables give an
-    empty result. Indexes of at most INDEX_BYTES of item text are broadcast one after the other.
+    empty result. Weights come from all items. An index holds at most INDEX_BYTES of item text; beyond that the texts are read
+    once for each index, and what one finds is settled before the next is broadcast. Columns of other names are ignored.
     """
-    id_type, item_type = dict(df.dtypes)[id_col], dict(items.dtypes)[item_id]
     docs = df.select(df[id_col].alias("id"), df[text].alias("text"))
+    named = items.select(items[item_id].alias("i"), items[item_text].alias("t"))
+    id_type, item_type = docs.dtypes[0][1], named.dtypes[0][1]
+    kind = to_arrow_type(named.schema["i"].dataType)
 
     def found_by(held) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,41 +282,53 @@ def leaks(df: DataFrame, items: DataFrame, text: str = "text", id_col: str = "do
                 for b, buf, off in steps(batch):
                     h, row, _, _ = words(buf, off)
                     got = sorted(ix.search(h, row), key=lambda g: g[:2])
-                    cols = [b.column(0).take(pa.array([g[0] for g in got], pa.int64())), pa.array([names[ix.ids[g[1]]] for g in got], _ARROW.get(item_type, pa.string()))]
+                    cols = [b.column(0).take(pa.array([g[0] for g in got], pa.int64())), pa.array([names[ix.ids[g[1]]] for g in got], kind)]
                     yield pa.RecordBatch.from_arrays(cols + [pa.array([g[k] for g in got], pa.float64()) for k in (2, 3, 4)], names=["id", "item", "score", "q", "a"])
 
         return map_arrow(docs, run, f"id {id_type}, item {item_type}, score double, q double, a double")
 
-    both = reduce(DataFrame.unionByName, [found_by(x) for x in indexes(items, item_text, item_id)])
+    both = reduce(DataFrame.unionByName, one_by_one(named, found_by, []))
     return both.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "score", F.col("q").alias("question_overlap"), F.col("a").alias("answer_overlap"))
 
 
-def indexes(items: DataFrame, item_text: str, item_id: str) -> list:
-    """Broadcast (index, item ids) of all items, INDEX_BYTES of text at a time; an empty index if there are none."""
-    out: list = []
-    group: list[tuple] = []
-    size = 0
+def one_by_one(named: DataFrame, use: Callable[[Broadcast], DataFrame], out: list[DataFrame]) -> list[DataFrame]:
+    """``out`` and after it ``use`` of each broadcast (index, item ids) over rows (i, t): of a single one as it is, of several settled, so that one
+    index is held at a time. A table of no items gives one empty index."""
+    rows = named.where("t is not null").orderBy("i", "t")
+    stats, groups = Stats(), 0
+    for group in groups_of(rows):
+        stats.add([t for _, t in group])
+        groups += 1
+    for group in groups_of(rows) if groups else [[]]:
+        index = Index.build([(k, t) for k, (_, t) in enumerate(group)], stats)  # ids may repeat
+        held = named.sparkSession.sparkContext.broadcast((index, [i for i, _ in group]))
+        out.append(use(held) if groups < 2 else settle(use(held)))
+        if groups > 1:
+            held.destroy()
+    return out
 
-    def close() -> None:
-        numbered = [(k, t) for k, (_, t) in enumerate(group)]  # ids may repeat
-        out.append(items.sparkSession.sparkContext.broadcast((Index.build(numbered), [i for i, _ in group])))
 
-    for r in items.select(items[item_id].alias("i"), items[item_text].alias("t")).where("t is not null").orderBy("i", "t").toLocalIterator():
+def groups_of(rows: DataFrame) -> Iterator[list[tuple]]:
+    """Rows (i, t) in lists of up to INDEX_BYTES of text."""
+    group: list[tuple] = []
+    size = 0
+    for r in rows.toLocalIterator():
         group.append((r["i"], r["t"]))
-        size += len(r["t"].encode())
+        size += len(r["t"].encode("utf-8", "replace"))
         if size >= INDEX_BYTES:
-            close()
+            yield group
             group, size = [], 0
-    if group or not out:
-        close()
-    return out
+    if group:
+        yield group
 
 
 def without_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """The rows of ``df``, all columns, in whose texts ``leaks`` finds no item."""
-    for held in indexes(items, item_text, item_id):
+    """The rows of ``df``, all columns, in whose texts ``leaks`` finds no item. Null and empty texts stay, repeated rows too."""
+
+    left = [df]
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    def use(held: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ix, _ = held.value
             for batch in batches:
                 for b, buf, off in steps(batch, text):
@@ -277,11 +338,11 @@ def without_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_text
                     keep[bad] = False
                     yield b.filter(pa.array(keep))
 
-        df = df.mapInArrow(run, df.schema)
-    return df
-
+        return left[-1].mapInArrow(run, df.schema)
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    named = items.select(items[item_id].alias("i"), items[item_text].alias("t"))
+    one_by_one(named, use, left)
+    return left[-1]
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

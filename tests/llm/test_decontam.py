@@ -3,6 +3,7 @@ import string
 
 import numpy as np
 
+from tekstara.llm import decontam
 from tekstara.llm.decontam import Index, hashes, leaks, without_leaks
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -77,3 +78,29 @@ def test_question_mark_inside_a_word(spark):
     df = spark.createDataFrame([(i, f"some words before {t} and some after") for i, t in enumerate(items)], "doc_id long, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in leaks(df, bench).collect()} == {(i, i) for i in range(len(items))}
+
+
+def test_split_test_sets_give_the_same(spark, monkeypatch):
+    items, docs = made()
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").selectExpr("cast(item_id as smallint) as item_id", "text")
+    rows = lambda: sorted(tuple(r) for r in leaks(df, bench).collect())
+    one, clean = rows(), without_leaks(df, bench).count()
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 3000)
+    assert rows() == one and without_leaks(df, bench).count() == clean
+
+
+def test_block_bounds_lose_nothing(monkeypatch):
+    items, docs = made()
+    for block, light, step in ((1, 0.0, 7), (4, 0.2, 50), (16, 0.6, 1 << 30)):
+        monkeypatch.setattr(decontam, "BLOCK", block)
+        monkeypatch.setattr(decontam, "LIGHT", light)
+        monkeypatch.setattr(decontam, "ENTRIES", step)
+        ix = Index.build(list(enumerate(items)))
+        sets = [np.flatnonzero(np.isin(ix.terms, hashes(t))) for t in docs[::5]]
+        passage, term = np.repeat(np.arange(len(sets)), list(map(len, sets))), np.concatenate(sets)
+        got = set(zip(*(x.tolist() for x in ix.bounded(passage, term)), strict=True))
+        for p, own in enumerate(sets):
+            for b, held in enumerate(ix.blocks):
+                if sum(held[t][2] for t in own.tolist() if t in held) >= ix.least[b]:
+                    assert (p, b) in got
