@@ -53,11 +53,13 @@ class Stats:
     df: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     n: int = 0
     size: int = 0
+    span: int = 1
 
     def add(self, texts: list[str]) -> None:
         own = [h for h in map(hashes, texts) if len(h)]
         self.n += len(own)
         self.size += sum(map(len, own))
+        self.span = max([self.span, *map(len, own)])
         terms, at = np.unique(np.concatenate([self.terms, *map(np.unique, own)]), return_inverse=True)
         self.df = np.bincount(at, np.concatenate([self.df, np.ones(len(at) - len(self.df), np.int64)]), minlength=len(terms)).astype(np.int64)
         self.terms = terms
@@ -141,7 +143,7 @@ class Index:
         maybe[(terms >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         return Index(
             [d[0] for d in docs], terms, blocks, least, listed * sure, np.searchsorted(np.array([e[0] for e in entries], np.int64), np.arange(len(terms) + 1)),
-            np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries]), need * sure, full, question, answer, int(size.max(initial=1)), widths, maybe,
+            np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries]), need * sure, full, question, answer, stats.span, widths, maybe,
         )
 
     def wand(self, query: list[int], blocks: list[int]) -> list[tuple[int, float]]:
