@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tekstara.llm import decontam, langid, neardup, packing, quality
-from tekstara.llm.common import load, settle
+from tekstara.llm.common import load, settle, tidy
 
 #: Least calibrated probability of a document's language.
 SURE = 0.5
@@ -15,14 +15,20 @@ RULES = [r for r in quality.RULES if r[:2] != ("n_words", ">")]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules. Null and empty texts don't; repeated rows are judged alike; an empty table stays so."""
     return quality.good_rows(docs, rules=RULES)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language by a model learned from these documents, with a probability of SURE at least."""
-    named = langid.predict(docs, langid.fitted(docs), keep=tuple(docs.columns))
-    return named.where((named.lang_pred != "und") & (named.score >= SURE)).select(*docs.columns)
+    """Documents whose text has a language by a model learned from these documents, with a probability of SURE at least.
+
+    Texts without a letter and null ones go; where no row has a text and a language to learn from, all go. Repeated rows are
+    judged alike; other columns may have any names.
+    """
+    free = lambda name: next(x for x in (f"__{name}{'_' * i}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
+    lang, score = free("lang"), free("score")
+    named = langid.predict(docs, langid.fitted(docs), keep=tuple(docs.columns), names=(lang, score))
+    return named.where((F.col(lang) != "und") & (F.col(score) >= SURE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +55,13 @@ def by_row(docs: DataFrame) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs."""
+    """Documents in which no benchmark item occurs. Null and empty texts stay, as do repeated rows; with no items all stay."""
     return decontam.without_leaks(docs, load(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and token-budget batches of the documents left."""
+    """Length buckets and token-budget batches of the documents left, a row a document. Null and empty texts have length 0;
+    repeated rows are packed one by one; an empty table gives an empty result."""
     return packing.pack(docs)
 
 
@@ -64,8 +71,10 @@ STAGES = [("quality rules", quality_rules), ("language ID", language_id), ("near
 ORACLE_SQL = None
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each over what the one before wrote. Folders of all but the result are removed."""
     docs = load(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir))
+        docs = tidy(stage)(spark, docs, sf_dir)
     return docs

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,24 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Folders made by the calls of ``tidy`` that are under way, innermost last, in each thread.
+_SCOPES = threading.local()
+#: Folders of local sessions without a setting.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI below the session's ``spark.checkpoint.dir``; a local one is set only where none is."""
+    """A new folder's URI below the session's ``spark.checkpoint.dir``. Only a local session without one is given a local folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tekstara-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/t-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        at = _LOCAL[app] = _LOCAL.get(app) or "file://" + tempfile.mkdtemp(prefix="tekstara-")
+    path = f"{at.rstrip('/')}/t-{uuid.uuid4().hex}"
+    for paths in getattr(_SCOPES, "open", [])[-1:]:
+        paths.append(path)
+    return path
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -38,6 +51,56 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``f`` with its result settled, and all folders that it made in the shared folder removed after that."""
+
+    @wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        _SCOPES.open = [*getattr(_SCOPES, "open", []), []]
+        spark = next(x if isinstance(x, SparkSession) else x.sparkSession for x in args if isinstance(x, SparkSession | DataFrame))
+        out = None
+        try:
+            out = f(*args, **kwargs)
+        finally:
+            made = _SCOPES.open.pop()
+            try:
+                out = settle(out) if out is not None else None
+            finally:
+                for path in made:
+                    remove(spark, path)
+        return out
+
+    return run
+
+
+#: The most frequent keys of a join that are dealt over several tasks, and the rows of one that stay together.
+HOT_KEYS, HOT_ROWS = 1000, 1024
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``big`` joined with ``small`` (a row a key), inner or left, without one task for a key that many rows of ``big`` have.
+
+    The HOT_KEYS most frequent keys (a broadcast of that many rows) are dealt over groups of HOT_ROWS rows, and their rows of
+    ``small`` are repeated for each; any other key has at most a HOT_KEYS-th of the rows. ``counts`` are (key, c) of ``big``.
+    Null keys match nothing.
+    """
+    some = big.where(F.col(key).isNotNull())
+    counts = (some.groupBy(key).agg(F.count("*")) if counts is None else counts).toDF("__key", "__c")
+    hot = F.broadcast(counts.where(F.col("__c") > HOT_ROWS).orderBy(F.desc("__c")).limit(HOT_KEYS).select("__key", F.ceil(F.col("__c") / HOT_ROWS).alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    left = some.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", F.pmod(F.xxhash64(*big.columns), parts)).drop("__key", "__parts")
+    right = small.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__key", "__parts")
+    out = left.join(right, [key, "__salt"], how).drop("__salt")
+    if how == "left":
+        out = out.unionByName(big.where(F.col(key).isNull()), allowMissingColumns=True)
+    return out
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
@@ -142,14 +205,14 @@ def binary_array(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
 
-def numbered(df: DataFrame, group: str, id_col: str, slot: str = "slot", chunks: int = 1024) -> DataFrame:
+def numbered(df: DataFrame, group: str, slot: str = "slot", chunks: int = 1024) -> DataFrame:
     """Add ``slot``: a gapless number from 0 within each ``group``, without one task per group.
 
     Rows of a group are dealt over ``chunks`` hashed chunks, numbered there, and moved up by the counts of earlier chunks.
-    Rows that repeat an id get numbers of their own. ``group`` must hold few values: groups * chunks counts are broadcast.
+    Rows that repeat an id get numbers of their own; a chunk is chosen by all columns, so rows without an id are dealt too. ``group`` must hold few values: groups * chunks counts are broadcast.
     """
     c, n, base = "__chunk", "__n", "__base"
-    df = df.withColumn(c, F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int"))
+    df = df.withColumn(c, F.pmod(F.xxhash64(*df.columns), F.lit(chunks)).cast("int"))
     # aliases keep the joined names apart from any column of the caller
     w = W.partitionBy(group, c).orderBy(*[x for x in df.columns if x not in (group, c)])
     sums = (

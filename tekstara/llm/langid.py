@@ -192,12 +192,12 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 SCALE = 100.0
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), extra: dict[str, Column] | None = None) -> DataFrame:
+def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), extra: dict[str, Column] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns, ``extra`` ones, lang_pred and score (the calibrated probability) of every row; only the text is read for it.
 
     A null text or one without a letter is ``und`` with score 0, as is every text if nothing was learned. Repeated rows are
     predicted alike; of equally likely languages the first by name is taken; an empty table gives an empty result. Columns of
-    ``df`` that aren't kept may have any name; kept ones must not be called as the added ones.
+    ``df`` that aren't kept may have any name; kept ones need other names than the added two (``names``).
     """
     cols = df.select(*[df[c].alias(c) for c in keep], *[e.alias(c) for c, e in (extra or {}).items()], df[text].alias("__text"))
     kept, kinds = cols.columns[:-1], dict(cols.dtypes)
@@ -212,9 +212,9 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                 else:
                     best, p, some = (np.zeros(b.num_rows, int), np.zeros(b.num_rows), np.zeros(b.num_rows, bool))
                 named = [m.langs[i] if s else "und" for i, s in zip(best, some, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(named, pa.string()), pa.array(np.where(some, p, 0.0), pa.float64())], names=[*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(named, pa.string()), pa.array(np.where(some, p, 0.0), pa.float64())], names=[*kept, *names])
 
-    return map_arrow(cols, run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", lang_pred string, score double")
+    return map_arrow(cols, run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + f", `{names[0]}` string, `{names[1]}` double")
 
 
 def fitted(docs: DataFrame) -> Model:

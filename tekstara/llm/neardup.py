@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import load, map_arrow, mix, settle, steps, windows, words
+from .common import load, map_arrow, mix, salted_join, settle, steps, tidy, windows, words
 
 ROWS, BANDS = 4, 20
 M = ROWS * BANDS
@@ -17,7 +18,8 @@ M = ROWS * BANDS
 B, A, Q = 1.02, 20.0, 4000
 #: Pairs whose estimate falls this far below the threshold aren't confirmed; over five standard errors with 80 registers.
 SLACK = 0.25
-BLOCK = 256
+#: Members of a block, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 _ODD = mix(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -124,53 +126,64 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     kind = dict(pairs.dtypes)["a"]
     one, two = (sets.select(F.col("id").alias(c), F.col("items").alias(f"i{c}")) for c in "ab")
-    return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "ia", "ib"), run, f"a {kind}, b {kind}")
+    return map_arrow(salted_join(salted_join(pairs, two, "b"), one, "a").select("a", "b", "ia", "ib"), run, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, comp): each linked id with the least id it reaches. Rounds of least neighbour and pointer jumping, settled each round."""
     edges = settle(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    degrees = settle(edges.groupBy("b").agg(F.count("*").alias("c")))
     labels = settle(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     while True:
-        near = edges.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
+        near = salted_join(edges, labels.select(F.col("id").alias("b"), F.col("comp").alias("c")), "b", counts=degrees).groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
         low = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "c").alias("c"))
         jump = labels.select(F.col("id").alias("c"), F.col("comp").alias("up"))
-        new = settle(low.join(jump, "c", "left").select("id", "old", F.least("c", "up").alias("comp")))
+        new = settle(salted_join(low, jump, "c", "left").select("id", "old", F.least("c", "up").alias("comp")))
         labels = new.select("id", "comp")
         if new.where("old <> comp").isEmpty():
             return labels
 
 
-def _blocks(rows: DataFrame, cols: list[str]) -> DataFrame:
-    """Members of buckets in blocks of about BLOCK, as arrays."""
-    size = rows.groupBy("key").agg(F.count("*").alias("__c"))
-    dealt = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("__c") / BLOCK)))
-    return dealt.groupBy("key", "band", "block").agg(F.collect_list(F.struct(*cols)).alias("members"))
+def _blocks(rows: DataFrame, cols: list[str], parts: str) -> DataFrame:
+    """Members of buckets as arrays, dealt over as many blocks as column ``parts`` says."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col(parts)))
+    return dealt.groupBy("key", "band", "block").agg(F.first("right_parts").alias("right_parts"), F.collect_list(F.struct(*cols)).alias("members"))
+
+
+def sized(rows: DataFrame, item_bytes: int) -> DataFrame:
+    """``rows`` (key, id, comp, n, ...) of buckets with several components: ``main`` is the bucket's largest component, and
+    left_parts and right_parts say how many blocks the members outside it and all members need."""
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    size = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max(F.struct("c", "comp", "w")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("k"))
+    parts = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w * item_bytes / BLOCK_BYTES), F.lit(1))
+    size = size.where("k > 1").select("key", "main", "c", parts(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("left_parts"), parts(F.col("c"), F.col("w")).alias("right_parts"))
+    size = settle(size)
+    return salted_join(rows, size.drop("c"), "key", counts=size.select("key", "c"))
 
 
 def mixed(buckets: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """key, band, id, comp, n, regs and ``main`` (the bucket's largest component) of buckets with several components."""
-    rows = buckets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    size = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k"))
-    size = size.where("k > 1").select("key", "main")
-    return settle(rows.join(size, "key").join(reps, "id").select("key", "band", "id", "comp", "n", "regs", "main"))
+    """key, band, id, comp, n, regs, main and numbers of blocks of buckets with several components."""
+    rows = buckets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(reps, "id")
+    return settle(sized(rows.select("key", "band", "id", "comp", "n", "regs"), 0))
 
 
-def meeting(rows: DataFrame, cols: list[str], fn, schema: str) -> DataFrame:
-    """In each bucket the rows outside its largest component meet all of its rows, block by block, so no task holds a bucket.
-    ``fn(band, x, y)`` takes two lists of members and returns columns."""
-    left = _blocks(rows.where("comp <> main").select("key", "band", *cols), cols).select("key", "band", F.col("members").alias("x"))
-    right = _blocks(rows.select("key", "band", *cols), cols).select("key", F.col("members").alias("y"))
-    names = [c.strip().split()[0] for c in schema.split(",")]
+def meeting(rows: DataFrame, cols: list[str], fn, columns: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """In each bucket the rows outside its largest component meet all of its rows, block by block: a block of theirs goes to each
+    block of the bucket by that block's number, so no task holds a bucket.
+    ``fn(key, band, x, y)`` takes two lists of members and returns ``columns``: (name, Arrow type, SQL type)."""
+    keep = ["key", "band", "left_parts", "right_parts", *cols]
+    left = _blocks(rows.where("comp <> main").select(*keep), cols, "left_parts")
+    left = left.select("key", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("right_parts") - 1)).alias("block"), F.col("members").alias("x"))
+    right = _blocks(rows.select(*keep), cols, "right_parts").select("key", "band", "block", F.col("members").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, band, x, y in zip(*batch.columns, strict=True):
                 out = fn(key.as_py(), band.as_py(), x.as_py(), y.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k.split()[1]]) for c, k in zip(out, schema.split(", "), strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind, _) in zip(out, columns, strict=True)], names=[name for name, _, _ in columns])
 
-    # few rows, each a block pair of up to 2 * BLOCK members: small batches
-    return map_arrow(left.join(right, "key").select("key", "band", "x", "y"), run, schema)
+    met = left.join(right, ["key", "band", "block"]).select("key", "band", "x", "y")
+    return map_arrow(met, run, ", ".join(f"{name} {kind}" for name, _, kind in columns))
 
 
 def candidates(m: dict, y: list[dict], regs: np.ndarray, n: np.ndarray, comp: np.ndarray, floor: float, percent: int, band: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +207,7 @@ def _columns(y: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(m["regs"] for m in y), np.uint16).reshape(-1, M), np.array([m["n"] for m in y], float), np.array([m["comp"] for m in y], object)
 
 
-def likeliest(rows: DataFrame, kind: str, floor: float, percent: int) -> DataFrame:
+def likeliest(rows: DataFrame, kind: tuple, floor: float, percent: int) -> DataFrame:
     """(a, b): each row outside its bucket's main component with its likeliest partner of another component in each block."""
 
     def fn(key, band: int, x: list[dict], y: list[dict]) -> list[list]:
@@ -206,11 +219,11 @@ def likeliest(rows: DataFrame, kind: str, floor: float, percent: int) -> DataFra
                 b.append(y[at[est.argmax()]]["id"])
         return [a, b]
 
-    out = meeting(rows, ["id", "comp", "n", "regs"], fn, f"a {kind}, b {kind}")
+    out = meeting(rows, ["id", "comp", "n", "regs"], fn, [("a", *kind), ("b", *kind)])
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def remaining(rows: DataFrame, sets: DataFrame, kind: str, floor: float, percent: int) -> DataFrame:
+def remaining(rows: DataFrame, sets: DataFrame, kind: tuple, floor: float, percent: int) -> DataFrame:
     """(a, b): links between different components among all pairs that share a band and that registers don't rule out.
 
     First the members of each bucket that are in such a pair are found from registers, then their sets are brought together
@@ -227,8 +240,9 @@ def remaining(rows: DataFrame, sets: DataFrame, kind: str, floor: float, percent
                 ids |= dict.fromkeys(y[i]["id"] for i in at)
         return [[key] * len(ids), list(ids)]
 
-    use = meeting(rows, ["id", "comp", "n", "regs"], needed, f"key bigint, id {kind}").distinct()
-    full = rows.join(settle(use), ["key", "id"]).join(sets, "id")
+    use = meeting(rows, ["id", "comp", "n", "regs"], needed, [("key", pa.int64(), "bigint"), ("id", *kind)]).distinct()
+    met = settle(rows.select("key", "band", "id", "comp", "n", "regs").join(settle(use), ["key", "id"]))
+    full = sized(met, 8).join(sets, "id")
 
     def linked(key, band: int, x: list[dict], y: list[dict]) -> list[list]:
         a, b, cols = [], [], _columns(y)
@@ -247,13 +261,11 @@ def remaining(rows: DataFrame, sets: DataFrame, kind: str, floor: float, percent
                     done.add(y[i]["comp"])
         return [a, b]
 
-    out = meeting(full, ["id", "comp", "n", "regs", "items"], linked, f"a {kind}, b {kind}")
+    out = meeting(full, ["id", "comp", "n", "regs", "items"], linked, [("a", *kind), ("b", *kind)])
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
+@tidy
 def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 2, percent: int = 80) -> DataFrame:
     """One row per row of ``df``: n_shingles, component_id (least id reachable over links) and kept (the id is that).
 
@@ -267,25 +279,25 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", k
     docs = df.select(df[id_col].alias("id"), df[text].alias("text"))
     base = settle(sketch(docs, k))
     some = base.where("fp is not null and id is not null")
-    classes = some.groupBy("fp").agg(F.min("id").alias("rep"))
-    own = some.join(classes, "fp").where("id = rep").groupBy("id").agg(F.max(F.struct("n", "regs")).alias("s"))
+    classes = settle(some.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("c")))
+    own = some.join(classes.select("fp", F.col("rep").alias("id")), ["fp", "id"]).groupBy("id").agg(F.max(F.struct("n", "regs")).alias("s"))
     reps = settle(own.select("id", "s.n", "s.regs"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     keys = reps.select("id", F.posexplode(bands).alias("band", "key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    buckets = settle(keys.join(shared, "key").select("key", "band", "id", "lead"))
+    shared = settle(keys.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("c")).where("c > 1"))
+    buckets = settle(salted_join(keys, shared.drop("c"), "key", counts=shared.select("key", "c")).select("key", "band", "id", "lead"))
     ids = buckets.select("id").distinct()
     # a repeated id has one text here: that with the most shingles
     sets = settle(full_sets(docs.join(ids, "id", "left_semi"), k).groupBy("id").agg(F.max(F.struct(F.length("items"), "items"))["items"].alias("items")))
 
     def with_regs(pairs: DataFrame) -> DataFrame:
         a, b = (reps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("regs").alias(f"r{c}")) for c in "ab")
-        return pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        return salted_join(pairs, a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     stars = buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = settle(confirmed(likely(with_regs(stars), floor), sets, percent))
     comps = components(links)
-    members, kind = buckets.select("key", "band", "id"), dict(reps.dtypes)["id"]
+    members, kind = buckets.select("key", "band", "id"), (to_arrow_type(reps.schema["id"].dataType), dict(reps.dtypes)["id"])
     for last in (False, True):
         rows = mixed(members, reps, comps)
         more = settle(remaining(rows, sets, kind, floor, percent) if last else confirmed(likeliest(rows, kind, floor, percent), sets, percent))
@@ -293,8 +305,8 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", k
             links = settle(links.union(more))
             comps = components(links)
     # back to all rows by fingerprint
-    named = classes.join(comps, classes.rep == comps.id, "left").select("fp", F.coalesce("comp", "rep").alias("component"))
-    out = base.select("id", "n", "fp").join(named, "fp", "left")
+    named = classes.select("fp", "rep").join(comps, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("comp", "rep").alias("component"))
+    out = salted_join(base.select("id", "n", "fp"), named, "fp", "left", counts=classes.select("fp", "c"))
     comp = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, load, map_arrow, shared_dir, steps, words
+from .common import crc_mod, load, map_arrow, shared_dir, steps, tidy, words
 
 #: Hash of the end token; a word whose hash is this one counts as it.
 END = np.uint64(0x9D5C2F1B7A3E4C61)
@@ -636,6 +636,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
     return map_arrow(cols, run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+@tidy
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     rest = crc_mod("doc_id", 10)

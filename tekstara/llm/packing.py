@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, load, numbered, settle
+from .common import WORD, load, numbered, settle, tidy
 
 BUCKETS, BUDGET = 12, 65_536
 
@@ -66,6 +66,7 @@ def best_bounds(length: np.ndarray, count: np.ndarray, k: int) -> list[int]:
     return bounds[::-1]
 
 
+@tidy
 def pack(df: DataFrame, id_col: str = "doc_id", length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """One row per row of ``df``: n_tokens, bucket, bucket_len (padded length), batch within the bucket, slot, padding.
 
@@ -81,7 +82,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", length: Column | None = None, bu
     n = F.col("n_tokens")
     bucket = reduce(lambda a, b: a + b, [(n > b).cast("int") for b in bounds[:-1]], F.lit(0))
     at = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("bucket") + 1)
-    out = numbered(rows.withColumn("bucket", bucket), "bucket", id_col).withColumn("bucket_len", at)
+    out = numbered(rows.withColumn("bucket", bucket), "bucket").withColumn("bucket_len", at)
     fit = F.greatest(F.lit(1).cast("long"), F.expr(f"{budget} div greatest(bucket_len, 1)"))
     return out.withColumn("fit", fit).select(id_col, "n_tokens", "bucket", "bucket_len", F.expr("slot div fit").alias("batch"), F.expr("slot % fit").alias("slot"), (F.col("bucket_len") - n).alias("padding"))
 

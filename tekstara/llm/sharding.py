@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, numbered, settle
+from .common import load, numbered, settle, tidy
 
 FIRST_BITS, MORE_BITS = 16, 8
 
@@ -90,11 +90,12 @@ def shard_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
     return [units[i][0] if i < len(units) else top for i in cut_at(ends, cap, shards)], cap
 
 
+@tidy
 def shard(df: DataFrame, text: str = "text", id_col: str = "doc_id", shards: int = 16) -> DataFrame:
     """One row per row of ``df``: size, text_crc32, law ('bytes'), shard, slot, grown_shard (null) and capacity.
 
     Equal texts are one atomic group, ordered by a hash of the text; a null text is a group of its own, has no bytes (size 1)
-    and the checksum of the empty text. No shard exceeds the least capacity that contiguous shards of these groups can have.
+    and the checksum of the empty text, though it isn't equal to an empty text: those are one group. No shard exceeds the least capacity that contiguous shards of these groups can have.
     Repeated rows keep a slot each; an empty table gives an empty result.
     """
     t = df[text]
@@ -103,7 +104,7 @@ def shard(df: DataFrame, text: str = "text", id_col: str = "doc_id", shards: int
     rows = settle(df.select(df[id_col].alias(id_col), (F.coalesce(F.octet_length(t), F.lit(0)).cast("long") + 1).alias("size"), crc.alias("text_crc32"), key.alias("key")))
     cuts, cap = shard_cuts(settle(rows.groupBy("key").agg(F.sum("size").alias("size"))), shards)
     at = reduce(lambda a, b: a + b, [(F.col("key") >= c).cast("int") for c in cuts], F.lit(0))
-    out = numbered(rows.withColumn("shard", at), "shard", id_col)
+    out = numbered(rows.withColumn("shard", at), "shard")
     return out.select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.lit(cap).cast("long").alias("capacity"))
 
 

@@ -10,17 +10,16 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
-from urllib.parse import urlparse
+from urllib.parse import quote, unquote, urlparse
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, map_arrow, settle, shared_dir
-from .ngram_lm import put
+from .common import load, map_arrow, salted_join, settle, shared_dir, tidy
+from .ngram_lm import put, store
 
 # The fields of a URL record line in the two ARC versions.
 FIELDS = {1: ["url", "ip", "date", "type", "length"], 2: ["url", "ip", "date", "type", "result", "checksum", "location", "offset", "filename", "length"]}
@@ -28,6 +27,8 @@ WHEN = "20240101000000"
 PAGE = "X-Page-Id"
 #: Compressed bytes that are read at a time.
 FEED = 1 << 14
+#: A file is closed after the record that takes it to this size.
+ROLL = 64 << 20
 _NAMES = uuid.UUID("6f1b8e0a-3a51-5b0c-9c5e-0d6f5f1f9d42")
 
 
@@ -39,7 +40,7 @@ def fetch(uri: str) -> bytes:
     if urlparse(uri).scheme in ("", "file"):
         with open(urlparse(uri).path, "rb") as f:
             return f.read()
-    fs, at = pafs.FileSystem.from_uri(uri)
+    fs, at = store(uri)
     with fs.open_input_stream(at) as f:
         return f.read()
 
@@ -80,7 +81,8 @@ def arc_record(url: str, block: bytes, version: int, name: str, offset: int, whe
 
 
 def read_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of every URL record. The version block names the version, whose line has 5 or 10 fields.
+    """(header fields, block) of the version block, whose URL begins with ``filedesc:``, and of every URL record after it. The
+    version block names the version, whose line has 5 or 10 fields.
 
     Blocks are cut by declared length, so newlines in them do no harm; blank lines between records are skipped. A line with too
     few fields, a length that isn't a number or that runs past the end raises ValueError.
@@ -108,8 +110,12 @@ def read_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at = start + size
             if described:
                 version = int(block.split(b" ", 1)[0])
-            else:
-                yield fields, block
+            yield fields, block
+
+
+def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The URL records of an ARC file."""
+    return (x for x in read_arc(data) if not x[0]["url"].startswith("filedesc:"))
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -121,18 +127,33 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return b"", block
 
 
-def page_of(http: bytes) -> int | None:
-    m = re.search(rb"(?im)^" + PAGE.encode() + rb":[ \t]*(-?\d+)", http)
-    return int(m[1]) if m else None
+def page_of(http: bytes) -> str | None:
+    m = re.search(rb"(?im)^" + PAGE.encode() + rb":[ \t]*([^\r\n]*)", http)
+    return unquote(m[1].decode()) if m else None
+
+
+def dated(arc_date: str) -> str:
+    """An ARC date, of which the last parts may be missing, as a WARC date."""
+    return datetime.strptime(arc_date[:14] + "00000101000000"[len(arc_date) :], "%Y%m%d%H%M%S").replace(tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def warcinfo(fields: dict[str, str], block: bytes, name: str) -> bytes:
+    """The warcinfo record that an ARC file's version block becomes; the block's own lines stay as a field."""
+    lines = " / ".join(block.decode("utf-8", "replace").split("\n")).strip(" /")
+    body = f"software: tekstara\r\nformat: WARC File Format 1.1\r\nsource: {fields['url']}\r\narc-version-block: {lines}\r\n".encode()
+    head = {
+        "WARC-Type": "warcinfo", "WARC-Date": dated(fields["date"]), "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(_NAMES, f'{name}:info')}>",
+        "WARC-Filename": name, "Content-Type": "application/warc-fields", "WARC-Block-Digest": f"sha1:{digest(body)}", "Content-Length": str(len(body)),
+    }
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + body + b"\r\n\r\n"
 
 
 def warc_record(fields: dict[str, str], block: bytes, name: str, offset: int, kind: str, refers: str | None = None) -> bytes:
     """The WARC record that an ARC record becomes: type, date, identifier (from file and place, so repeats agree) and digests."""
     http, payload = split_http(block)
     body = http if kind == "revisit" else block
-    when = datetime.strptime(fields["date"][:14].ljust(14, "0"), "%Y%m%d%H%M%S").replace(tzinfo=UTC)
     head = {
-        "WARC-Type": kind, "WARC-Target-URI": fields["url"], "WARC-Date": when.strftime("%Y-%m-%dT%H:%M:%SZ"),
+        "WARC-Type": kind, "WARC-Target-URI": fields["url"], "WARC-Date": dated(fields["date"]), "WARC-Warcinfo-ID": f"<urn:uuid:{uuid.uuid5(_NAMES, f'{name}:info')}>",
         "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(_NAMES, f'{name}:{offset}')}>", "WARC-IP-Address": fields["ip"],
         "WARC-Payload-Digest": f"sha1:{digest(payload)}", "WARC-Block-Digest": f"sha1:{digest(body)}",
         "X-Payload-Length": str(len(payload)), "Content-Type": "application/http; msgtype=response" if http else fields["type"],
@@ -161,77 +182,92 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def write_arc(df: DataFrame, uri: str, version: int = 1) -> DataFrame:
-    """Write columns page_id, url, html as ARC files of the given version, one a task; returns the files' names and row counts."""
+    """Write columns page_id, url, html as ARC files of the given version, of up to about ROLL bytes; returns the files' names and row counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"part-{TaskContext.get().partitionId():06d}.arc.gz"
+        task, part = TaskContext.get().partitionId(), 0
         out, n = io.BytesIO(), 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal out, n, part
+            put(uri, name, out.getvalue())
+            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "n"])
+            out, n, part = io.BytesIO(), 0, part + 1
+            return row
+
         for b in batches:
             for page, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                name = f"part-{task:06d}-{part:06d}.arc.gz"
                 if not n:
                     out.write(gzip_member(arc_header(name, version)))
                 payload = (html or "").encode("utf-8")
-                mark = "" if page is None else f"{PAGE}: {page}\r\n"
+                mark = "" if page is None else f"{PAGE}: {quote(page, safe=' ')}\r\n"
                 block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{mark}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
                 out.write(gzip_member(arc_record(url or "", block, version, name, out.tell())))
                 n += 1
+                if out.tell() >= ROLL:
+                    yield close()
         if n:
-            put(uri, name, out.getvalue())
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "n"])
+            yield close()
 
-    return map_arrow(df.select("page_id", "url", "html"), run, "file string, n long")
+    return map_arrow(df.select(df["page_id"].cast("string"), "url", "html"), run, "file string, n long")
 
 
-def index_arc(files: DataFrame, uri: str) -> DataFrame:
+def index_arc(files: DataFrame, uri: str, id_type: str = "long") -> DataFrame:
     """file, place (number in the file), page_id, n_bytes and digest of every record of the named ARC files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name in b.column(0).to_pylist():
                 rows = []
-                for i, (_, block) in enumerate(read_arc(fetch(f"{uri}/{name}"))):
+                for i, (_, block) in enumerate(records(fetch(f"{uri}/{name}"))):
                     http, payload = split_http(block)
                     rows.append((name, i, page_of(http), len(payload), digest(payload)))
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["file", "place", "page_id", "n_bytes", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["file", "place", "page_id", "n_bytes", "digest"])
 
-    return map_arrow(files.select("file"), run, "file string, place long, page_id long, n_bytes long, digest string")
+    found = map_arrow(files.select("file"), run, "file string, place long, page_id string, n_bytes long, digest string")
+    return found.withColumn("page_id", F.col("page_id").cast(id_type))
 
 
 def decided(index: DataFrame, least: int) -> DataFrame:
-    """``index`` with what each record refers to (null: it is a response): the largest page_id of its payload, then the first place."""
-    key = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("page"), F.col("page_id"), F.col("file"), (-F.col("place")).alias("place"))
-    best = index.where(F.col("n_bytes") >= least).groupBy("digest", "n_bytes").agg(F.max(key).alias("best"))
-    both = index.join(best, ["digest", "n_bytes"], "left")
+    """``index`` with what each record refers to (null: it is a response): the largest page_id of its payload (null ones are
+    least), then the last file, then the first place. A payload that many records share, such as the empty one, is dealt over tasks."""
+    index = index.withColumn("payload", F.when(F.col("n_bytes") >= least, F.concat_ws(":", "digest", "n_bytes")))
+    best = settle(index.where("payload is not null").groupBy("payload").agg(F.max(F.struct("page_id", "file", (-F.col("place")).alias("place"))).alias("best"), F.count("*").alias("c")))
+    both = salted_join(index, best.drop("c"), "payload", "left", counts=best.select("payload", "c"))
     same = (F.col("file") == F.col("best.file")) & (F.col("place") == -F.col("best.place"))
     to = F.when(F.col("best").isNotNull() & ~same, F.col("best"))
-    return both.select("file", "place", "page_id", to["page_id"].alias("to_page"), F.when(to.isNotNull(), F.concat_ws(":", to["file"], (-to["place"]).cast("string"))).alias("to_record"))
+    return both.select("file", "place", to["page_id"].cast("string").alias("to_page"), F.when(to.isNotNull(), F.concat_ws(":", to["file"], (-to["place"]).cast("string"))).alias("to_record"))
 
 
-def convert(decisions: DataFrame, uri: str) -> DataFrame:
-    """Write a WARC file for each ARC file; returns its name and number of records. One file's decisions meet in one task."""
+def convert(decisions: DataFrame, uri: str, files: int) -> DataFrame:
+    """Write a WARC file for each ARC file; returns its name and number of records. One file's decisions meet in one task, and
+    files are dealt evenly over as many tasks as there are files."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf["file"].iloc[0]
         to = dict(zip(pdf["place"], pdf["to_record"], strict=True))
         pages = dict(zip(pdf["place"], pdf["to_page"], strict=True))
-        out, n = io.BytesIO(), 0
-        for i, (fields, block) in enumerate(read_arc(fetch(f"{uri}/{name}"))):
+        out, i = io.BytesIO(), 0
+        for fields, block in read_arc(fetch(f"{uri}/{name}")):
+            if fields["url"].startswith("filedesc:"):
+                out.write(gzip_member(warcinfo(fields, block, name)))
+                continue
             kind = "response" if to[i] is None else "revisit"
             record = warc_record(fields, block, name, i, kind, to[i])
             if kind == "revisit" and not pd.isna(pages[i]):
-                record = record.replace(b"WARC/1.1\r\n", f"WARC/1.1\r\nX-Refers-To-Page: {int(pages[i])}\r\n".encode(), 1)
+                record = record.replace(b"WARC/1.1\r\n", f"WARC/1.1\r\nX-Refers-To-Page: {quote(pages[i], safe=' ')}\r\n".encode(), 1)
             out.write(gzip_member(record))
-            n += 1
+            i += 1
         put(uri, new := name.replace(".arc.gz", ".warc.gz"), out.getvalue())
-        return pd.DataFrame({"file": [new], "n": [n]})
+        return pd.DataFrame({"file": [new], "n": [i]})
 
-    # as text, since pandas makes floats of integers with nulls
-    as_text = decisions.withColumn("to_page", F.col("to_page").cast("string"))
-    return as_text.groupBy("file").applyInPandas(run, "file string, n long")
+    # a given number of ranges, which adaptive execution doesn't merge
+    return decisions.repartitionByRange(files, "file").groupBy("file").applyInPandas(run, "file string, n long")
 
 
-def read_back(files: DataFrame, uri: str) -> DataFrame:
+def read_back(files: DataFrame, uri: str, id_type: str = "long") -> DataFrame:
     """page_id, url, payload length and digest, type, what it refers to, date and identifier of every WARC record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,33 +275,39 @@ def read_back(files: DataFrame, uri: str) -> DataFrame:
             for name in b.column(0).to_pylist():
                 rows = []
                 for head, block in read_warc(fetch(f"{uri}/{name}")):
+                    if head["WARC-Type"] not in ("response", "revisit"):
+                        continue
                     http, payload = split_http(block)
                     said = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     if head["WARC-Type"] == "response" and digest(payload) != said:
                         raise ValueError(f"WARC: payload of {head['WARC-Record-ID']} doesn't match its digest")
                     to = head.get("X-Refers-To-Page")
-                    rows.append((page_of(http), int(head["X-Payload-Length"]), said, head["WARC-Type"], int(to) if to else None, head["WARC-Target-URI"], head["WARC-Date"], head["WARC-Record-ID"]))
+                    rows.append((page_of(http), int(head["X-Payload-Length"]), said, head["WARC-Type"], unquote(to) if to else None, head["WARC-Target-URI"], head["WARC-Date"], head["WARC-Record-ID"]))
                 cols = list(zip(*rows, strict=True)) or [[]] * 8
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "warc_date", "record_id"])
 
-    return map_arrow(files.select("file"), run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, warc_date string, record_id string")
+    out = map_arrow(files.select("file"), run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, target_uri string, warc_date string, record_id string")
+    return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
+@tidy
 def archive(df: DataFrame, least: int = 0, version: int = 1) -> DataFrame:
     """Write ``df`` (page_id, url, html) as ARC files, convert them to WARC files, and return a row for each record read back.
 
     Null html is an empty payload, null url ``about:blank``. Of records with equal payloads of at least ``least`` bytes, that
     with the largest page_id (a null one last; of repeats, the first in the last file) is the response and the others
-    revisit it. Every row has a record, repeated rows too; an empty table gives an empty result. Files are in the shared folder, one for each
-    task's rows; all but one file's bytes and its decisions stay out of memory.
+    revisit it. Page ids may be of any type that text can be cast to. Every row has a record, repeated rows too; an empty table
+    gives an empty result. Files of up to about ROLL bytes are in the shared folder until they are read back; one file's bytes and
+    its decisions are in memory at a time.
     """
-    uri = shared_dir(df.sparkSession)
+    uri, id_type = shared_dir(df.sparkSession), dict(df.dtypes)["page_id"]
     files = settle(write_arc(df, uri, version)).select("file")
     n = max(1, files.count())
-    spread = lambda f: f.repartition(n, "file")
-    warcs = settle(convert(decided(settle(index_arc(spread(files), uri)), least), uri))
-    return read_back(spread(warcs.select("file")), uri)
+    spread = lambda f: f.repartitionByRange(n, "file")
+    decisions = settle(decided(settle(index_arc(spread(files), uri, id_type)), least))
+    warcs = settle(convert(decisions, uri, n))
+    return read_back(spread(warcs.select("file")), uri, id_type)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

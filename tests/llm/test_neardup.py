@@ -1,8 +1,12 @@
 import re
 import string
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 
+from tekstara.llm import common, neardup
+from tekstara.llm.common import salted_join
 from tekstara.llm.neardup import estimate, near_duplicates, registers, shingle_sets
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -86,3 +90,40 @@ def test_sets_are_exact():
     t = "a b a b a b c".encode()
     sets, first = shingle_sets(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 2)
     assert len(sets) == 3 and first.tolist() == [0, 3]
+
+
+def test_ids_of_other_types(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(i, base.replace(f"w{i} ", f"x{i} ")) for i in range(60)]
+    for kind in ("smallint", "string", "decimal(20,0)"):
+        df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+        got = near_duplicates(df)
+        assert dict(got.dtypes)["component_id"] == kind and {str(r["component_id"]) for r in got.collect()} == {"0"}
+
+
+def test_split_buckets_and_hot_keys(spark, monkeypatch):
+    """Small blocks and groups give the same result, and very long sets have blocks of their own."""
+    rows = [(i, t) for i, t in enumerate(texts())] + [(5000 + i, " ".join(f"v{j}" for j in range(30_000) if j != 17 * i)) for i in range(4)] + [(6000 + i, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(df).collect()} == brute(rows)
+
+
+def test_salted_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    rows = [(i, k) for i, k in enumerate([1] * 20 + [2] * 10 + [3] * 8 + [4, 4, 5, None, None])]
+    big, small = spark.createDataFrame(rows, "i long, c long"), spark.createDataFrame([(k, k * 10) for k in (1, 2, 3, 4)], "c long, v long")
+    for how in ("inner", "left"):
+        want = sorted(((i, k, k * 10 if k and k < 5 else None) for i, k in rows if how == "left" or (k and k < 5)), key=repr)
+        assert sorted((tuple(r) for r in salted_join(big, small, "c", how).select("i", "c", "v").collect()), key=repr) == want
+
+
+def test_folders_of_steps_are_removed(spark):
+    at = Path(urlparse(common.shared_dir(spark)).path).parent
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts()[:60])], "doc_id long, text string")
+    before = set(at.iterdir()) if at.exists() else set()
+    got = near_duplicates(df)
+    assert len(set(at.iterdir()) - before) == 1 and got.count() == 60

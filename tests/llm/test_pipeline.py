@@ -83,3 +83,19 @@ def test_long_documents_stay(spark, tmp_path):
     text = " ".join(x if i % 4 else "the" for i, x in enumerate(text.split()))
     docs = spark.createDataFrame([(1, text), (2, "too short")], "doc_id long, text string")
     assert [r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()] == [1]
+
+
+def test_clashing_columns_and_a_very_long_text(spark, tmp_path):
+    rows, items, clean = made(tmp_path, spark)
+    rng = np.random.default_rng(3)
+    words = [*WORDS["en"].split(), *(f"word{i}" for i in range(3000))]
+    long = " ".join(x if i % 3 else "the" for i, x in enumerate(rng.choice(words, 120_000)))
+    names = ["score", "lang_pred", "__lang", "__score", "row", "kept", "id", "n", "fp", "key", "comp", "band", "c", "__w", "text_"]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    docs = docs.union(spark.createDataFrame([(9000, long, "en", "s", len(long))], docs.schema))
+    docs = docs.selectExpr("*", *(f"{i} as `{c}`" for i, c in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES:
+        columns, docs = docs.columns, stage(spark, docs, str(tmp_path))
+        assert name == "packing" or docs.columns == columns
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    assert {r["doc_id"] for r in docs.collect()} == clean | {9000}

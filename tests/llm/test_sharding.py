@@ -52,3 +52,14 @@ def test_shards(spark):
 
 def test_empty(spark):
     assert shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_ids_repeats_and_long_texts(spark):
+    rows = [(None, "a"), (None, None), (None, ""), (1, "a"), (1, "a"), (1, "b"), (2, ""), (3, None), (4, "ü" * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as shard", "2 as key", "3 as size")
+    got = shard(df, shards=4).collect()
+    assert len(got) == len(rows) and sorted(r["size"] for r in got) == sorted(len((t or "").encode()) + 1 for _, t in rows)
+    for s in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    of = lambda crc, size: {r["shard"] for r in got if (r["text_crc32"], r["size"]) == (crc, size)}
+    assert len(of(zlib.crc32(b"a"), 2)) == 1 and max(r["size"] for r in got) == got[0]["capacity"] == 600_001

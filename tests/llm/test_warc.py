@@ -3,7 +3,8 @@ import hashlib
 
 import pytest
 
-from tekstara.llm.warc import archive, arc_header, arc_record, gzip_member, read_arc, read_warc, split_http, warc_record
+from tekstara.llm import common, warc
+from tekstara.llm.warc import archive, arc_header, arc_record, gzip_member, read_arc, read_warc, records, split_http, warc_record, warcinfo
 
 
 def test_arc_versions_and_lengths():
@@ -12,7 +13,8 @@ def test_arc_versions_and_lengths():
         plain = arc_header("a.arc", version) + b"".join(arc_record(f"http://h/{i} b", b, version, "a.arc", 0) for i, b in enumerate(blocks))
         zipped = gzip_member(arc_header("a.arc", version)) + b"".join(gzip_member(arc_record(f"http://h/{i} b", b, version, "a.arc", 0)) for i, b in enumerate(blocks))
         for data in (plain, zipped):
-            got = list(read_arc(data))
+            got = list(records(data))
+            assert len(list(read_arc(data))) == len(blocks) + 1
             assert [b for _, b in got] == blocks
             assert got[1][0]["url"] == "http://h/1%20b" and len(got[0][0]) == (5 if version == 1 else 10)
 
@@ -59,3 +61,29 @@ def test_repeated_rows_null_ids_and_empty(spark):
     kinds = sorted(((r["page_id"] or 0), r["record_type"], r["refers_to"]) for r in archive(df).collect())
     assert [k for _, k, _ in kinds].count("response") == 1 and {t for _, k, t in kinds if k == "revisit"} == {1}
     assert archive(df.limit(0)).count() == 0
+
+
+def test_text_ids(spark):
+    df = spark.createDataFrame([("b", "u", "x"), ("a b/ü", "u", "x"), ("c\r\nd", "u", "y"), (None, "u", "y")], "page_id string, url string, html string")
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in archive(df).collect()}
+    assert got == {("b", "response", None), ("a b/ü", "revisit", "b"), ("c\r\nd", "response", None), (None, "revisit", "c\r\nd")}
+
+
+def test_rolled_files_and_hot_payloads(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 7)
+    rows = [(i, f"http://h/{i}", "" if i % 3 else f"page {i} " * 20) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    uri = common.shared_dir(spark)
+    monkeypatch.setattr(warc, "ROLL", 2000)
+    files = warc.write_arc(df, uri).collect()
+    assert sum(r["n"] for r in files) == 200 and len({r["file"] for r in files}) >= 1
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in archive(df).collect()}
+    assert got == brute(rows)
+
+
+def test_version_block_becomes_warcinfo():
+    (fields, block), *_ = read_arc(arc_header("a.arc", 1))
+    ((head, body),) = read_warc(warcinfo(fields, block, "a.arc"))
+    assert head["WARC-Type"] == "warcinfo" and head["WARC-Date"] == "2024-01-01T00:00:00Z" and b"URL IP-address Archive-date" in body
+    other = warc_record({"url": "u", "ip": "0.0.0.0", "date": "2024", "type": "text/html", "length": "1"}, b"x", "a.arc", 0, "response")
+    assert next(read_warc(other))[0]["WARC-Warcinfo-ID"] == head["WARC-Record-ID"]
