@@ -50,7 +50,7 @@ def token_slots(upos: Column, feats: Column) -> Column:
 
 
 def parse_label(label: Column) -> Column:
-    """Slots of a label such as ``dkt., vyr. g., vns. vard.``. Longer abbreviations match first and their text is used up; a
+    """Slots of a label such as ``dkt., vyr. g., vns. vard.``. Longer abbreviations match first and a space takes their place; a
     slot keeps its first value in that order."""
     rest = F.trim(label)
     found: dict[str, Column] = {}
@@ -58,7 +58,7 @@ def parse_label(label: Column) -> Column:
         slot, value = ABBREVIATIONS[abbreviation]
         hit = F.when(F.contains(rest, F.lit(abbreviation)), F.lit(value))
         found[slot] = F.coalesce(found[slot], hit) if slot in found else hit
-        rest = F.replace(rest, F.lit(abbreviation), F.lit(""))
+        rest = F.replace(rest, F.lit(abbreviation), F.lit(" "))
     return F.struct(*[found[s].alias(s) for s in SLOTS])
 
 

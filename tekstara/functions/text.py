@@ -109,7 +109,8 @@ def list_heavy(text: ColumnOrName) -> Column:
 
 
 def all_caps(line: ColumnOrName) -> Column:
-    return has_letter(line) & (F.upper(col(line)) == col(line)) & (F.lower(col(line)) != col(line))
+    """A line with capitals and no small letters."""
+    return col(line).rlike(r"\p{Lu}") & ~col(line).rlike(r"\p{Ll}")
 
 
 def per_thousand(pattern: str, text: ColumnOrName, n: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lithuanian as lt
 from ..functions.tags import parse_label, score
 
 # Fixed values: (word, lemma) pairs whose form doesn't follow from tags.
@@ -46,3 +47,28 @@ def merged_probabilities(df: DataFrame, keys: list[str], logit: str, label: str,
     out = rows.groupBy(*keys).agg(listed.alias("__r"))
     flags = out.withColumn("ambiguous", F.size("__r") >= 2).withColumn("resolved", F.size(F.filter("__r", lambda r: r["p"] >= 0.9)) == 1)
     return flags.select(*keys, F.explode("__r").alias("__x"), "ambiguous", "resolved").select(*keys, F.col("__x.label").alias(label), "__x.p", "ambiguous", "resolved")
+
+
+def best_labels(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, label: of rows (keys, label, s, extra) the label with the highest score, then the fewest spurious slots, then the least
+    text; null where no score is above 0."""
+    best = scored.groupBy(*keys).agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("extra"), F.col("label"))).alias("b"))
+    return best.select(*keys, F.when(F.col("b.s") < 0, F.col("b.label")).alias("label"))
+
+
+def decoded(df: DataFrame, word: str, logits: str, none: Column) -> DataFrame:
+    """Add ``letter`` and ``mark``: the likeliest place that the word may bear a mark at, if it is likelier than ``none``.
+
+    ``logits`` is flat, grave, acute and tilde for each letter in turn. Where marks may stand is worked out once a distinct word;
+    the choice itself is an expression over arrays. At equal logits the first place counts.
+    """
+
+    def places(w: str | None) -> list[int]:
+        n = len(lt.clusters(lt.strip_stress(w) or "")) if w else 0
+        return [3 * i + k for i in range(n) for k, m in enumerate(lt.MARKS) if lt.may_carry(w, i, m)]
+
+    masked = lt.map_distinct(df, word, places, "__places", "array<int>")
+    each = F.transform(F.filter("__places", lambda i: i < F.size(logits)), lambda i: F.struct(F.get(logits, i).cast("double").alias("x"), (-i).alias("i")))
+    best = masked.withColumn("__best", F.array_max(each)).withColumn("__at", F.when(F.col("__best.x") > none.cast("double"), -F.col("__best.i")))
+    out = best.withColumn("letter", F.floor(F.col("__at") / 3).cast("int")).withColumn("mark", F.get(F.array(*[F.lit(m) for m in lt.MARKS]), F.col("__at") % 3))
+    return out.drop("__places", "__best", "__at")

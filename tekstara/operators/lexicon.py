@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .ranking import keep_last, majority
 
@@ -51,11 +52,15 @@ def class_table(forms: DataFrame, keys: list[str], shape: str, least: int = 5, s
 
 def paradigms(forms: DataFrame, keys: list[str], shape: str, example: str, top: int = 8, examples: int = 5) -> DataFrame:
     """keys, count, majority, alternatives (top shapes with counts and first examples), conflict."""
-    each = forms.groupBy(*keys, shape).agg(F.count("*").alias("__n"), F.slice(F.array_sort(F.collect_set(example)), 1, examples).alias("examples"))
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("__n")).alias("o"), F.col(shape).alias("shape"), F.col("__n").alias("n"), F.col("examples"))))
-    out = each.groupBy(*keys).agg(F.sum("__n").alias("count"), listed.alias("l"), F.count("*").alias("k"))
-    alternatives = F.slice(F.transform("l", lambda x: F.struct(x["shape"].alias("shape"), x["n"].alias("n"), x["examples"].alias("examples"))), 1, top)
-    return out.select(*keys, "count", F.get("l", 0)["shape"].alias("majority"), alternatives.alias("alternatives"), (F.col("k") > 1).alias("conflict"))
+    shown = forms.select(*keys, shape, example).distinct()
+    shown = shown.withColumn("__r", F.row_number().over(W.partitionBy(*keys, shape).orderBy(example))).where(F.col("__r") <= examples)
+    shown = shown.groupBy(*keys, shape).agg(F.array_sort(F.collect_list(example)).alias("examples"))
+    counts = forms.groupBy(*keys, shape).agg(F.count("*").alias("__n"))
+    total = counts.groupBy(*keys).agg(F.sum("__n").alias("count"), F.count("*").alias("k"))
+    best = counts.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("__n"), shape))).where(F.col("__r") <= top).join(shown, [*keys, shape])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("__r", F.col(shape).alias("shape"), F.col("__n").alias("n"), "examples"))), lambda x: F.struct(x["shape"].alias("shape"), x["n"].alias("n"), x["examples"].alias("examples")))
+    out = best.groupBy(*keys).agg(listed.alias("alternatives")).join(total, keys)
+    return out.select(*keys, "count", F.get("alternatives", 0)["shape"].alias("majority"), "alternatives", (F.col("k") > 1).alias("conflict"))
 
 
 def prefixed(bases: DataFrame, prefixes: list[str], attested: DataFrame, parts: list[str], key: str = "lemma", word: str = "word") -> DataFrame:

@@ -65,7 +65,7 @@ def strata(df: DataFrame, pattern_col: str, correct: Column) -> DataFrame:
 
 def accepted(df: DataFrame, table: DataFrame, pattern_col: str, threshold: float) -> DataFrame:
     """``df`` with its stratum's accuracy and whether that reaches the threshold; an unseen pattern isn't accepted."""
-    small = F.broadcast(table.select(pattern_col, F.col("accuracy").alias("stratum_accuracy")))
+    small = table.select(pattern_col, F.col("accuracy").alias("stratum_accuracy"))
     return df.join(small, pattern_col, "left").withColumn("accepted", F.coalesce(F.col("stratum_accuracy") >= threshold, F.lit(False)))
 
 
@@ -96,7 +96,7 @@ def audited(df: DataFrame, overlay: DataFrame, observed: DataFrame, word: str =
     the word), exclude (row dropped), unmarked-ok (``optional``: left out of denominators); others leave gold alone.
     """
     seen = observed.groupBy(word).agg(F.collect_set("form").alias("__seen"))
-    both = df.join(F.broadcast(overlay.select(word, "action", "accept")), word, "left").join(seen, word, "left")
+    both = df.join(overlay.select(word, "action", "accept"), word, "left").join(seen, word, "left")
     own = F.array(F.col(gold))
     given = F.coalesce("accept", F.array().cast("array<string>"))
     forms = F.when((F.col("action") == "replace") & (F.size(given) > 0), given).when(F.col("action") == "accept-also", F.array_union(own, given))

@@ -32,9 +32,11 @@ def majority(df: DataFrame, keys: list[str], value: str, least: int = 1, share:
 def unique_top(df: DataFrame, keys: list[str], value: str, score: str, default: Column | str) -> DataFrame:
     """keys, value, resolved: the value with the strictly highest score of at least two rows, else the default."""
     default = F.col(default) if isinstance(default, str) else default
-    a = df.groupBy(*keys).agg(F.max(F.struct(score, value)).alias("top"), F.max_by(score, score).alias("m"), F.count("*").alias("n"), F.collect_list(score).alias("all"), F.min(default).alias("d"))
-    one = (F.size(F.filter("all", lambda s: s == F.col("m"))) == 1) & (F.col("n") > 1)
-    return a.select(*keys, F.when(one, F.col(f"top.{value}")).otherwise(F.col("d")).alias(value), one.alias("resolved"))
+    # how often each score occurs, then the highest one: no list of a key's rows
+    each = df.groupBy(*keys, score).agg(F.max(value).alias("__v"), F.count("*").alias("__c"), F.min(default).alias("__d"))
+    a = each.groupBy(*keys).agg(F.max(F.struct(F.col(score).alias("s"), F.col("__c").alias("c"), F.col("__v").alias("v"))).alias("top"), F.sum("__c").alias("n"), F.min("__d").alias("d"))
+    one = F.coalesce((F.col("top.s").isNotNull()) & (F.col("top.c") == 1) & (F.col("n") > 1), F.lit(False))
+    return a.select(*keys, F.when(one, F.col("top.v")).otherwise(F.col("d")).alias(value), one.alias("resolved"))
 
 
 def first_max(df: DataFrame, keys: list[str], value: str, score: str, order: str) -> DataFrame:
@@ -50,10 +52,19 @@ def unanimous_top(df: DataFrame, keys: list[str], value: str, score: str) -> Dat
     return best.groupBy(*keys).agg(F.min(value).alias("__a"), F.max(value).alias("__b")).where(F.col("__a").eqNullSafe(F.col("__b"))).select(*keys, F.col("__a").alias(value))
 
 
-def running_quota(df: DataFrame, key: str, amount: str, quota: float, *order: str) -> DataFrame:
-    """Rows of each key in order until the amounts reach the quota; the row that crosses it is kept."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn("__s", F.sum(amount).over(w)).where(F.col("__s") - F.col(amount) < quota).drop("__s")
+def running_quota(df: DataFrame, key: str, amount: str, quota: float, order: str, width: int = 4096) -> DataFrame:
+    """Rows of each key in order until the amounts reach the quota; the row that crosses it is kept.
+
+    ``order`` is a number without ties, amounts aren't negative. Rows are summed over ranges of ``width`` numbers first; only
+    ranges that begin below the quota are looked at row by row, each in a task of its own.
+    """
+    at = F.floor(F.col(order) / width).cast("long")
+    ranges = df.groupBy(key, at.alias("__at")).agg(F.sum(amount).alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(key).orderBy("__at").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__n")
+    open_ = ranges.withColumn("__before", before).where(F.col("__before") < quota).select(F.col(key).alias("__key"), "__at", "__before")
+    rows = df.withColumn("__at", at).join(open_, F.col(key).eqNullSafe(F.col("__key")) & (at == open_["__at"])).drop(open_["__at"])
+    w = W.partitionBy(key, "__at").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.withColumn("__s", F.sum(amount).over(w) + F.col("__before")).where(F.col("__s") - F.col(amount) < quota).select(*df.columns)
 
 
 def hash_split(df: DataFrame, id_col: str, percent: int, seed: str = "") -> DataFrame:

@@ -12,15 +12,18 @@ from ..functions.lithuanian import osa
 from ..functions.text import deletes1, deletes2, fold_ascii, match_case
 
 
-def bigrams(tokens: DataFrame, key: str = "doc_id", pos: str = "pos", token: str = "token", vocabulary: DataFrame | None = None, least: int = 2) -> DataFrame:
-    """w1, w2, n of adjacent tokens; a token outside the vocabulary breaks the run."""
-    w = W.partitionBy(key).orderBy(pos)
-    df = tokens
-    if vocabulary is not None:
-        known = vocabulary.select(F.col(token).alias("__t"))
-        df = df.join(known, df[token] == F.col("__t"), "left").withColumn(token, F.when(F.col("__t").isNotNull(), F.col(token))).drop("__t")
-    pairs = df.withColumn("w1", F.lag(token).over(w)).withColumnRenamed(token, "w2").where("w1 is not null and w2 is not null")
-    return pairs.groupBy("w1", "w2").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+def bigrams(df: DataFrame, tokens: str = "tokens", vocabulary: DataFrame | None = None, token: str = "token", least: int = 2) -> DataFrame:
+    """w1, w2, n of adjacent tokens; a token outside the vocabulary breaks the run.
+
+    ``df`` has a row a text with its ``tokens`` in order. Neighbours are paired in the array, so nothing is shuffled but counts;
+    a pair counts if the vocabulary has both its words, which is looked up once for each distinct pair.
+    """
+    w = F.col(tokens)
+    pairs = df.where(F.size(w) > 1).select(F.inline(F.arrays_zip(F.slice(w, F.lit(1), F.size(w) - 1).alias("w1"), F.slice(w, F.lit(2), F.size(w) - 1).alias("w2"))))
+    counts = pairs.groupBy("w1", "w2").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    for c in ("w1", "w2") if vocabulary is not None else ():
+        counts = counts.join(vocabulary.select(F.col(token).alias(c)).distinct(), c, "left_semi")
+    return counts.select("w1", "w2", "n")
 
 
 def fold_index(words: DataFrame, form: str = "form") -> DataFrame:

@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import lithuanian as lt
-from ..functions.text import common_prefix, fold_ascii, lemma_script
+from ..functions.text import common_prefix, lemma_script
 from ..operators import guess, spelling
-from ..operators.joins import agreeing, cascade, choose_side, live, misses, tiered
-from ..operators.lexicon import class_table, endings, gathered, paradigms, prefixed, variants, vetoed
-from ..operators.ranking import keep_last, majority
-from .registry import TOKENS, WORDS, doc_tokens, query, table, word_table
+from ..operators.joins import agreeing, cascade, choose_side, listed_or_orphans, live, misses, tiered
+from ..operators.lexicon import class_table, endings, gathered, paradigms, prefixed, upsert, variants, vetoed
+from ..operators.ranking import majority
+from ..operators.sequences import neighbours
+from ..operators.spelling import fold_index
+from .registry import TOKENS, WORDS, doc_tokens, doc_words, query, table, word_table
 
 #: A word store derived from the words: some incomplete, some negative and expired, some known by their title side only.
 STORE = f"""{WORDS}, store AS (SELECT word AS key, freq, CASE WHEN length(word) % 5 <> 0 THEN word || '1' END AS default_form, CASE WHEN length(word) % 5 <> 0 THEN 'ONE' ELSE 'NONE' END AS accent_type,
 CASE WHEN length(word) % 3 <> 0 THEN upper(substr(word, 1, 1)) || substr(word, 2) || '2' END AS default_form_title, CASE WHEN length(word) % 7 <> 0 THEN 'ONE' END AS accent_type_title,
 CASE WHEN length(word) % 4 = 0 THEN '2020-01-01 00:00:00' WHEN length(word) % 4 = 1 THEN '2999-01-01 00:00:00' END AS negative_until FROM w WHERE freq >= 3)"""
-LIVE = f"{STORE}, live AS (SELECT * FROM store WHERE accent_type_title IS NOT NULL AND NOT (negative_until IS NOT NULL AND negative_until < '2024-01-01'))"
+LIVE = f"{STORE}, live AS MATERIALIZED (SELECT * FROM store WHERE accent_type_title IS NOT NULL AND NOT (negative_until IS NOT NULL AND negative_until < '2024-01-01'))"
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def dict_lookup_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("*").alias("words"), F.count("form").alias("formed"), F.coalesce(F.sum(F.length("form")), F.lit(0)).alias("form_chars"))
 
 
-@query(f"WITH {LIVE} SELECT word AS key FROM w WHERE word NOT IN (SELECT key FROM live)")
+@query(f"WITH {LIVE} SELECT word AS key FROM w WHERE NOT EXISTS (SELECT 1 FROM live WHERE live.key = w.word)")
 def dict_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return misses(word_table(spark, sf_dir).select(F.col("word").alias("key")), known(spark, sf_dir))
 
@@ -53,13 +54,15 @@ def dict_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LIVE}, k AS (SELECT word AS key, freq FROM w), t AS (SELECT k.key, k.freq, CASE WHEN l.default_form IS NOT NULL THEN 'dict' WHEN length(k.key) % 6 = 0 THEN 'guess' WHEN k.key LIKE 'th%' THEN 'live' ELSE 'unanswered' END AS tier FROM k LEFT JOIN live l USING (key))
 SELECT tier, count(*)::BIGINT AS types, sum(freq)::BIGINT AS tokens FROM t GROUP BY tier""")
 def tiered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # each branch needs the words with their counts, so the plan reads and counts them once
     words = word_table(spark, sf_dir).select(F.col("word").alias("key"), "freq")
-    tiers = [("dict", known(spark, sf_dir).select("key", F.col("default_form").alias("form"))), ("guess", words.where(F.length("key") % 6 == 0).select("key", F.col("key").alias("form"))), ("live", words.where("key like 'th%'").select("key", F.col("key").alias("form")))]
+    counted = words.where("freq > 0")
+    tiers = [("dict", known(spark, sf_dir).select("key", F.col("default_form").alias("form"))), ("guess", counted.where(F.length("key") % 6 == 0).select("key", F.col("key").alias("form"))), ("live", counted.where("key like 'th%'").select("key", F.col("key").alias("form")))]
     return tiered(words, tiers).groupBy("tier").agg(F.count("*").alias("types"), F.sum("freq").alias("tokens"))
 
 
-@query(f"""WITH {WORDS}, a AS (SELECT word AS key, CASE WHEN length(word) % 2 = 0 THEN 'x' || length(word)::VARCHAR END AS form FROM w), b AS (SELECT word AS key, CASE WHEN length(word) % 3 = 0 THEN 'x' || length(word)::VARCHAR ELSE 'y' END AS form FROM w)
-SELECT a.key, coalesce(a.form, b.form) AS form, CASE WHEN a.form IS NOT NULL THEN 0 ELSE 1 END::INTEGER AS level, (a.form IS NOT NULL AND a.form = b.form) AS agreed FROM a JOIN b USING (key)""")
+@query(f"""WITH {WORDS}, ab AS MATERIALIZED (SELECT word AS key, CASE WHEN length(word) % 2 = 0 THEN 'x' || length(word)::VARCHAR END AS a, CASE WHEN length(word) % 3 = 0 THEN 'x' || length(word)::VARCHAR ELSE 'y' END AS b FROM w)
+SELECT key, coalesce(a, b) AS form, CASE WHEN a IS NOT NULL THEN 0 ELSE 1 END::INTEGER AS level, (a IS NOT NULL AND a = b) AS agreed FROM ab""")
 def cascade_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = word_table(spark, sf_dir).select(F.col("word").alias("key"))
     x = F.concat(F.lit("x"), F.length("key").cast("string"))
@@ -69,10 +72,14 @@ def cascade_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade(words, [a, b]).join(both, "key", "left").fillna(False, ["agreed"])
 
 
-@query("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+@query("""WITH old AS (SELECT user_id::VARCHAR AS word, min(event_type) AS f FROM events WHERE user_id % 4 <> 0 GROUP BY 1), new AS (SELECT user_id::VARCHAR AS word, CASE WHEN user_id % 10 <> 4 THEN max(event_type) END AS f FROM events WHERE user_id % 2 = 0 GROUP BY user_id)
+SELECT word, CASE WHEN new.word IS NOT NULL THEN new.f ELSE old.f END AS default_form, CASE WHEN new.word IS NOT NULL THEN 2024 ELSE 2020 END::INTEGER AS fetched, CASE WHEN new.word IS NOT NULL AND new.f IS NULL THEN '2024-01-31' END AS negative_until FROM old FULL JOIN new USING (word)""")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id")
-    return keep_last(events, ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "value")
+    e = table(spark, sf_dir, "events").where("user_id is not null").withColumn("word", F.col("user_id").cast("string"))
+    old = e.where("user_id % 4 <> 0").groupBy("word").agg(F.min("event_type").alias("default_form"), F.to_timestamp(F.lit("2020-01-01")).alias("fetched_at"))
+    new = e.where("user_id % 2 = 0").groupBy("word").agg(F.when(F.max("user_id") % 10 != 4, F.max("event_type")).alias("default_form"))
+    out = upsert(old, new, F.to_timestamp(F.lit("2024-01-01")))
+    return out.select("word", "default_form", F.year("fetched_at").alias("fetched"), F.date_format("negative_until", "yyyy-MM-dd").alias("negative_until"))
 
 
 @query("""SELECT user_id, event_type, votes, total FROM (SELECT user_id, event_type, count(*)::BIGINT AS votes, (sum(count(*)) OVER (PARTITION BY user_id))::BIGINT AS total, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r
@@ -108,8 +115,8 @@ def suffix_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_WORD_LANG}, e AS (SELECT lang, substr(x, 1, k) AS prefix FROM (SELECT lang, word || '#' AS x, unnest(range(1, length(word) + 2)) AS k FROM m)),
-s AS (SELECT prefix, min(lang) AS lang FROM e GROUP BY prefix HAVING min(lang) = max(lang))
-SELECT prefix, lang FROM s WHERE substr(prefix, 1, length(prefix) - 1) NOT IN (SELECT prefix FROM s)""")
+s AS MATERIALIZED (SELECT prefix, min(lang) AS lang FROM e GROUP BY prefix HAVING min(lang) = max(lang))
+SELECT prefix, lang FROM s WHERE NOT EXISTS (SELECT 1 FROM s AS shorter WHERE shorter.prefix = left(s.prefix, length(s.prefix) - 1))""")
 def prefix_free_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guess.prefix_rules(word_language(spark, sf_dir), "word", "lang")
 
@@ -139,9 +146,10 @@ def prefix_cross_attested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixed(bases, _PREFIXES, words, ["a", "b"])
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def not_exists_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return listed_or_orphans(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), orders, ["c_custkey"], F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
 
 
 @query(f"""WITH {_WORD_LANG}, f AS (SELECT lang, length(word) AS n, right(word, 2) AS ending, count(*) AS votes FROM m WHERE length(word) >= 3 GROUP BY ALL),
@@ -181,26 +189,30 @@ def gathered_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gathered(rows, "event_id").select("word", F.size("variants").alias("variants"), "provenance")
 
 
-@query(f"""WITH {WORDS}, f AS (SELECT translate(word, 'ąčęėįšųūž', 'aceeisuuz') AS fold, word, freq FROM w WHERE word <> translate(word, 'ąčęėįšųūž', 'aceeisuuz')) SELECT q.word AS query, f.word AS form, f.freq FROM w q JOIN f ON f.fold = q.word""")
+#: The documents' accented letters stand for the nine that fold.
+_ACCENTED, _FOLDING = "éèêíóúñäö", "ėęęįųūčąž"
+
+
+@query(f"""WITH {WORDS}, l AS MATERIALIZED (SELECT translate(word, '{_ACCENTED}', '{_FOLDING}') AS form, sum(freq)::BIGINT AS freq FROM w GROUP BY 1), f AS MATERIALIZED (SELECT translate(form, 'ąčęėįšųūž', 'aceeisuuz') AS fold, form, freq FROM l WHERE form <> translate(form, 'ąčęėįšųūž', 'aceeisuuz'))
+SELECT l.form AS query, f.form, f.freq FROM l JOIN f ON f.fold = l.form""")
 def fold_restores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = word_table(spark, sf_dir).select("word", "freq")
-    marked = words.select(fold_ascii("word").alias("query"), F.col("word").alias("form"), "freq").where("form <> query")
-    return words.select(F.col("word").alias("query")).join(marked, "query")
+    words = word_table(spark, sf_dir).groupBy(F.translate("word", _ACCENTED, _FOLDING).alias("form")).agg(F.sum("freq").alias("freq"))
+    marked = fold_index(words).where("form <> fold").withColumnRenamed("fold", "query")
+    return words.select(F.col("form").alias("query")).join(marked, "query").select("query", "form", "freq")
 
 
 @query()
 def spelling_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     # queries: every word with each pair of neighbours it has, against words seen twice or more (the reference's least count)
     words = word_table(spark, sf_dir).where("freq >= 2").select(F.col("word").alias("form"), "freq")
-    t = doc_tokens(spark, sf_dir).select("doc_id", "pos", "token")
-    w = W.partitionBy("doc_id").orderBy("pos")
-    found = t.select(F.lag("token").over(w).alias("prev"), F.col("token").alias("word"), F.lead("token").over(w).alias("next")).distinct()
+    texts = doc_words(spark, sf_dir)
+    found = neighbours(texts, "doc_id", "tokens").select(F.col("prev_word").alias("prev"), F.col("token").alias("word"), F.col("next_word").alias("next")).distinct()
     # the id is the words themselves; no token holds a ^
     queries = found.withColumn("qid", F.concat_ws(" ", *[F.coalesce(c, F.lit("^")) for c in ("prev", "word", "next")]))
-    return spelling.suggest(queries, words, spelling.bigrams(t)).select("qid", "word", "kind", F.array_join("corrections", ",").alias("corrections"), "autofix")
+    return spelling.suggest(queries, words, spelling.bigrams(texts)).select("qid", "word", "kind", F.array_join("corrections", ",").alias("corrections"), "autofix")
 
 
-@query()
+@query(f"""WITH {WORDS}, l AS (SELECT word, regexp_replace(word, '(?:ed|ing|s)$', '') AS lemma FROM w WHERE freq >= 5) SELECT word, lemma, 'R|0|' || (length(word) - length(lemma))::VARCHAR || '|' AS script FROM l WHERE lemma <> ''""")
 def lemma_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = word_table(spark, sf_dir).where("freq >= 5").select("word", F.regexp_replace("word", "(?:ed|ing|s)$", "").alias("lemma"))
     return words.where("lemma <> ''").withColumn("script", lemma_script("word", "lemma"))
@@ -211,8 +223,6 @@ def common_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table(spark, sf_dir).select("word", common_prefix("word", F.lit("the")).alias("k"))
 
 
-@query(f"WITH {WORDS} SELECT word, strip_accents(word) AS ascii FROM w")
+@query(f"WITH {WORDS} SELECT word, replace(strip_accents(word), 'ß', 'ss') AS ascii FROM w")
 def ascii_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the key of letters that compose of base and mark; ß and its like fold to themselves here as in the SQL
-    words = word_table(spark, sf_dir).select("word")
-    return lt.map_distinct(words, "word", lambda w: "".join(c[0] for c in lt.clusters(w)), "ascii", "string")
+    return lt.map_distinct(word_table(spark, sf_dir).select("word"), "word", lt.ascii_key, "ascii", "string")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.tags import ABBREVIATIONS, canonical_feats, parse_feats, parse_label, score, token_slots
+from ..functions.tags import canonical_feats, parse_feats, parse_label, score, spurious, token_slots
+from ..operators.disambiguation import best_labels, decoded
 from ..operators.measures import accepted, accuracy, audited, confusion, coverage_diff, fixed_domain, parity, pattern, strata
 from ..operators.ranking import first_max, unanimous_top, unique_top
 from .registry import TOKENS, WORDS, doc_tokens, query, table, word_table
@@ -104,12 +105,15 @@ def parity_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_domain(counts, "bucket", ["EXACT", "DEFAULT-MATCH", "OVERLAP", "NORM-DELTA", "DISJOINT", "UNCOVERED", "EXTRA"])
 
 
-@query("""WITH o AS (SELECT * FROM (VALUES ('click', 'replace', ['tap', 'press']), ('view', 'accept-also', ['look']), ('error', 'exclude', NULL), ('purchase', 'unmarked-ok', NULL)) t(word, action, accept))
-SELECT event_id, event_type AS word, CASE WHEN action = 'replace' THEN 'press,tap' WHEN action = 'accept-also' THEN 'look,view' ELSE event_type END AS accepted, coalesce(action = 'unmarked-ok', false) AS optional FROM events LEFT JOIN o ON o.word = event_type WHERE coalesce(action <> 'exclude', true)""")
+@query("""WITH o AS (SELECT * FROM (VALUES ('click', 'replace', ['tap', 'press']), ('view', 'accept-also', ['look']), ('error', 'exclude', NULL), ('purchase', 'unmarked-ok', NULL), ('signup', 'accept-any-observed', NULL)) t(word, action, accept)),
+s AS (SELECT event_type AS word, array_agg(DISTINCT event_type || (user_id % 3)::VARCHAR) AS seen FROM events WHERE user_id IS NOT NULL GROUP BY 1)
+SELECT event_id, event_type AS word, CASE WHEN action = 'replace' THEN 'press,tap' WHEN action = 'accept-also' THEN 'look,view' WHEN action = 'accept-any-observed' THEN array_to_string(list_sort(list_distinct(list_append(seen, event_type))), ',') ELSE event_type END AS accepted,
+coalesce(action = 'unmarked-ok', false) AS optional FROM events LEFT JOIN o ON o.word = event_type LEFT JOIN s ON s.word = event_type WHERE coalesce(action <> 'exclude', true)""")
 def audit_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    overlay = spark.createDataFrame([("click", "replace", ["tap", "press"]), ("view", "accept-also", ["look"]), ("error", "exclude", None), ("purchase", "unmarked-ok", None)], "word string, action string, accept array<string>")
-    gold = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("word"), F.col("event_type").alias("gold"))
-    seen = spark.createDataFrame([], "word string, form string")
+    overlay = spark.createDataFrame([("click", "replace", ["tap", "press"]), ("view", "accept-also", ["look"]), ("error", "exclude", None), ("purchase", "unmarked-ok", None), ("signup", "accept-any-observed", None)], "word string, action string, accept array<string>")
+    events = table(spark, sf_dir, "events")
+    gold = events.select("event_id", F.col("event_type").alias("word"), F.col("event_type").alias("gold"))
+    seen = events.where("user_id is not null").select(F.col("event_type").alias("word"), F.concat("event_type", (F.col("user_id") % 3).cast("string")).alias("form"))
     return audited(gold, overlay, seen).select("event_id", "word", F.array_join("right", ",").alias("accepted"), "optional")
 
 
@@ -145,23 +149,36 @@ def feats_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("event_id", canonical_feats(F.col("feats")).alias("feats"), F.size(parse_feats(F.col("feats"))).alias("n"))
 
 
-@query(f"""SELECT event_id, (CASE event_id % 4 WHEN 0 THEN 4 WHEN 1 THEN 10 WHEN 2 THEN -5 ELSE 2 END)::INTEGER AS s FROM events""")
+#: Labels with the slots they fill, and the slots of the four contexts of ``feats_rows``, as the SQL has them.
+LABELS = ["dkt., vyr. g., vns. vard.", "dkt., vyr. g., dgs. kilm.", "bdv., mot. g., vns. gal.", "vksm., es. l., 3 asm.", "dlv., būt. l., kilm.", "dkt., vyr. g.", "prv., aukšt. l."]
+_NAMES = "pos, gender, number, case_, tense, person, voice, degree"
+_SLOTS = f"""l(label, {_NAMES}) AS (VALUES ('dkt., vyr. g., vns. vard.', 'NOUN', 'Masc', 'Sing', 'Nom', NULL, NULL, NULL, NULL), ('dkt., vyr. g., dgs. kilm.', 'NOUN', 'Masc', 'Plur', 'Gen', NULL, NULL, NULL, NULL), ('bdv., mot. g., vns. gal.', 'ADJ', 'Fem', 'Sing', 'Acc', NULL, NULL, NULL, NULL),
+('vksm., es. l., 3 asm.', 'VERB', NULL, NULL, NULL, 'Pres', '3', NULL, NULL), ('dlv., būt. l., kilm.', 'PART_VERB', NULL, NULL, 'Gen', 'Past', NULL, NULL, NULL), ('dkt., vyr. g.', 'NOUN', 'Masc', NULL, NULL, NULL, NULL, NULL, NULL), ('prv., aukšt. l.', 'ADV', NULL, NULL, NULL, NULL, NULL, NULL, 'Cmp')),
+c(k, upos, feats, {_NAMES}) AS (VALUES (0, 'NOUN', '_', 'NOUN', NULL, NULL, NULL, NULL, NULL, NULL, NULL), (1, 'NOUN', 'Number=Sing|Case=Nom|Gender=Masc', 'NOUN', 'Masc', 'Sing', 'Nom', NULL, NULL, NULL, NULL), (2, 'VERB', 'VerbForm=Part|Tense=Past|Case=Gen', 'PART_VERB', NULL, NULL, 'Gen', 'Past', NULL, NULL, NULL), (3, 'NOUN', 'Degree=Pos|Case=Acc|bad', 'NOUN', NULL, NULL, 'Acc', NULL, NULL, NULL, NULL)),
+s AS (SELECT c.k, c.upos, c.feats, l.label, (CASE WHEN l.pos IS NULL OR c.pos IS NULL THEN 0 WHEN l.pos = c.pos THEN 4 ELSE -3 END + {" + ".join(f"CASE WHEN l.{x} IS NULL OR c.{x} IS NULL THEN 0 WHEN l.{x} = c.{x} THEN 2 ELSE -2 END" for x in _NAMES.split(", ")[1:])})::INTEGER AS s,
+{" + ".join(f"(l.{x} IS NOT NULL AND c.{x} IS NULL)::INTEGER" for x in _NAMES.split(", "))} AS extra FROM c, l)"""
+
+
+def scored(df: DataFrame, extra: list[str]) -> DataFrame:
+    """Each context (upos, feats) with each label, its score and its spurious slots."""
+    context = df.withColumn("slots", token_slots(F.col("upos"), parse_feats(F.col("feats"))))
+    tried = context.select(*extra, "upos", "feats", "slots", F.explode(F.array(*[F.lit(x) for x in LABELS])).alias("label")).withColumn("reading", parse_label(F.col("label")))
+    return tried.select(*extra, "upos", "feats", "label", score(F.col("reading"), F.col("slots")).cast("int").alias("s"), spurious(F.col("reading"), F.col("slots")).alias("extra"))
+
+
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feats_rows(spark, sf_dir).withColumn("upos", F.when(F.col("event_id") % 4 == 2, "VERB").otherwise("NOUN"))
+
+
+@query(f"WITH {_SLOTS} SELECT event_id, label, s FROM events JOIN s ON s.k = event_id % 4")
 def tag_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the label of a masculine singular nominative noun against four contexts: bare, the same, a past participle, an accusative
-    r = feats_rows(spark, sf_dir).withColumn("upos", F.when(F.col("event_id") % 4 == 2, "VERB").otherwise("NOUN"))
-    context = token_slots(F.col("upos"), parse_feats(F.col("feats")))
-    return r.select("event_id", score(parse_label(F.lit("dkt., vyr. g., vns. vard.")), context).cast("int").alias("s"))
+    return scored(contexts(spark, sf_dir), ["event_id"]).select("event_id", "label", "s")
 
 
-@query()
+@query(f"WITH {_SLOTS} SELECT upos, feats, CASE WHEN s > 0 THEN label END AS label FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, extra, label) AS r FROM s) WHERE r = 1")
 def label_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct context's best label of a small vocabulary: highest score, then fewest spurious slots, then text; none at 0 or less."""
-    labels = ["dkt., vyr. g., vns. vard.", "dkt., vyr. g., dgs. kilm.", "bdv., mot. g., vns. gal.", "vksm., es. l., 3 asm.", "dlv., būt. l., kilm."]
-    r = feats_rows(spark, sf_dir).withColumn("upos", F.when(F.col("event_id") % 4 == 2, "VERB").otherwise("NOUN"))
-    context = r.select("upos", "feats").distinct().withColumn("slots", token_slots(F.col("upos"), parse_feats(F.col("feats"))))
-    tried = context.select("*", F.explode(F.array(*[F.lit(x) for x in labels])).alias("label")).withColumn("s", score(parse_label(F.col("label")), F.col("slots")))
-    best = tried.groupBy("upos", "feats").agg(F.max_by(F.struct("label", "s"), F.struct("s", F.col("label"))).alias("b"))
-    return best.select("upos", "feats", F.when(F.col("b.s") > 0, F.col("b.label")).alias("label"), F.lit(len(ABBREVIATIONS)).alias("abbreviations"))
+    """Each distinct context's best label: highest score, then fewest spurious slots, then text; none at 0 or less."""
+    return best_labels(scored(contexts(spark, sf_dir).select("upos", "feats").distinct(), []), ["upos", "feats"])
 
 
 @query("""WITH d AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT vec_id, max(x) AS m FROM d GROUP BY vec_id),
@@ -175,8 +192,14 @@ def softmax_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob.withColumn("r", F.row_number().over(w)).where("r <= 2").select("vec_id", "label", F.round("prob", 9).alias("prob"))
 
 
-@query("SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS best, list_max(embedding)::DOUBLE AS top FROM embeddings")
+_WORDS5 = ["vyras", "namas", "pirko", "slėnio", "abatija"]
+# places (letter * 3 + mark; marks: grave, acute, tilde) that the five words may bear a mark at, written down by hand
+_PLACES = {"vyras": [4, 5, 8, 9, 10, 11], "namas": [3, 4, 5, 8, 9, 10, 11], "pirko": [3, 8, 12, 13, 14], "slėnio": [7, 8, 11, 12, 13, 14, 15, 16, 17], "abatija": [0, 1, 2, 6, 7, 8, 12, 18, 19, 20]}
+
+
+@query(f"""WITH p AS (SELECT unnest([{", ".join(f"'{w}'" for w in _WORDS5)}]) AS word, unnest([{", ".join(map(str, _PLACES.values()))}]) AS places), e AS (SELECT vec_id, [{", ".join(f"'{w}'" for w in _WORDS5)}][1 + vec_id % 5] AS word, embedding FROM embeddings),
+c AS (SELECT vec_id, word, embedding[64] AS none, i, embedding[i + 1] AS x FROM (SELECT e.*, unnest(places) AS i FROM e JOIN p USING (word))), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r FROM c)
+SELECT vec_id, word, CASE WHEN x > none THEN i // 3 END::INTEGER AS letter, CASE WHEN x > none THEN ['grave', 'acute', 'tilde'][1 + i % 3] END AS mark FROM t WHERE r = 1""")
 def masked_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    top = F.array_max("embedding")
-    return e.select("vec_id", (F.array_position("embedding", top) - 1).cast("int").alias("best"), top.cast("double").alias("top"))
+    e = table(spark, sf_dir, "embeddings").withColumn("word", F.get(F.array(*[F.lit(w) for w in _WORDS5]), (F.col("vec_id") % 5).cast("int")))
+    return decoded(e, "word", "embedding", F.get("embedding", 63)).select("vec_id", "word", "letter", "mark")

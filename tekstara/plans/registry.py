@@ -17,7 +17,7 @@ ORACLE_SQL: dict[str, str] = {}
 TOKENS = r"""tok AS (SELECT doc_id, lang, source, unnest(range(0, len(t))) AS pos, unnest(t) AS token
 FROM (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '[\p{L}\p{M}]+') AS t FROM documents))"""
 #: word, freq, docs of every distinct token.
-WORDS = f"{TOKENS}, w AS (SELECT token AS word, count(*)::BIGINT AS freq, count(DISTINCT doc_id)::BIGINT AS docs FROM tok GROUP BY token)"
+WORDS = f"{TOKENS}, w AS MATERIALIZED (SELECT token AS word, count(*)::BIGINT AS freq, count(DISTINCT doc_id)::BIGINT AS docs FROM tok GROUP BY token)"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and all tokens of a document in order, as an array."""
+    return table(spark, sf_dir, "documents").select("doc_id", tokens(F.lower("text")).alias("tokens"))
+
+
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, pos, token of all documents."""
     docs = table(spark, sf_dir, "documents")

@@ -14,7 +14,7 @@ from ..operators.sequences import chunked, quota_selected
 from ..operators.spelling import bigrams
 from ..sources.readers import html_paragraphs
 from .accent import parts
-from .registry import TOKENS, WORDS, doc_tokens, query, table, word_table
+from .registry import TOKENS, WORDS, doc_tokens, doc_words, query, table, word_table
 
 
 @query(f"WITH {TOKENS} SELECT token, count(*)::BIGINT AS freq FROM tok GROUP BY token")
@@ -55,22 +55,14 @@ def decontam_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(table(spark, sf_dir, "benchmark").select(normalized(F.col("text")).alias("t")), "t", "left_anti").select("doc_id")
 
 
-@query(f"""WITH {TOKENS}, p AS (SELECT lag(token) OVER (PARTITION BY doc_id ORDER BY pos) AS w1, token AS w2 FROM tok)
-SELECT w1, w2, count(*)::BIGINT AS n FROM p WHERE w1 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2 ORDER BY n DESC, w1, w2 LIMIT 20000""")
-def bigram_counts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bigrams(doc_tokens(spark, sf_dir).select("doc_id", "pos", "token"))
-    return found.orderBy(F.desc("n"), "w1", "w2").limit(20000)
-
-
-#: The bound of the reference's table (MAX_BIGRAMS).
+#: The bound of the table of pairs, which is its own feature.
 MAX_BIGRAMS = 220_000
 
 
 @query(f"""WITH {TOKENS}, p AS (SELECT lag(token) OVER (PARTITION BY doc_id ORDER BY pos) AS w1, token AS w2 FROM tok)
 SELECT w1, w2, count(*)::BIGINT AS n FROM p WHERE w1 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2 ORDER BY n DESC, w1, w2 LIMIT {MAX_BIGRAMS}""")
-def bigram_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bigrams(doc_tokens(spark, sf_dir).select("doc_id", "pos", "token"))
-    return found.orderBy(F.desc("n"), "w1", "w2").limit(MAX_BIGRAMS)
+def bigram_counts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bigrams(doc_words(spark, sf_dir)).orderBy(F.desc("n"), "w1", "w2").limit(MAX_BIGRAMS)
 
 
 @query(f"""WITH {WORDS}, v AS (SELECT word FROM w WHERE freq >= 5), t AS (SELECT doc_id, pos, CASE WHEN v.word IS NOT NULL THEN token END AS token FROM tok LEFT JOIN v ON v.word = tok.token),
@@ -78,7 +70,7 @@ p AS (SELECT lag(token) OVER (PARTITION BY doc_id ORDER BY pos) AS w1, token AS
 SELECT w1, w2, count(*)::BIGINT AS n FROM p WHERE w1 IS NOT NULL AND w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""")
 def bigrams_in_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = word_table(spark, sf_dir).where("freq >= 5").select(F.col("word").alias("token"))
-    return bigrams(doc_tokens(spark, sf_dir).select("doc_id", "pos", "token"), vocabulary=known)
+    return bigrams(doc_words(spark, sf_dir), vocabulary=known)
 
 
 @query(f"WITH {WORDS} SELECT translate(word, 'ąčęėįšųūž', 'aceeisuuz') AS fold, count(*)::BIGINT AS forms, sum(freq)::BIGINT AS freq FROM w GROUP BY 1")
@@ -179,26 +171,17 @@ def list_heavy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", list_heavy("text").alias("list_heavy"))
 
 
-@query(r"""SELECT doc_id, count(*)::BIGINT AS caps_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE regexp_matches(x, '\p{L}') AND upper(x) = x AND lower(x) <> x GROUP BY doc_id""")
+@query(r"""SELECT doc_id, count(*)::BIGINT AS caps_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE regexp_matches(x, '\p{Lu}') AND NOT regexp_matches(x, '\p{Ll}') GROUP BY doc_id""")
 def all_caps_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x"))
-    return lines.where(all_caps("x").isNotNull() & all_caps("x") & ~F.col("x").contains("ß")).groupBy("doc_id").agg(F.count("*").alias("caps_lines"))
-
-
-@query(f"""WITH {TOKENS} SELECT lang, class, count(*)::BIGINT AS n FROM (SELECT lang, CASE WHEN length(token) = 1 AND pos % 2 = 0 THEN 'ABBREVIATION' WHEN regexp_matches(token, '^[IVXLCDM]+$') THEN 'NUMERAL'
-WHEN regexp_matches(token, '^[A-Za-zĄČĘĖĮŠŲŪŽąčęėįšųūž]+$') THEN 'WORD' ELSE 'FOREIGN' END AS class FROM tok WHERE length(token) <> 2 AND length(token) <> 3) GROUP BY ALL""")
-def word_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # short tokens with abbreviation spellings are left out; a dot is put after every second token
-    t = doc_tokens(spark, sf_dir).where("length(token) not in (2, 3)").withColumn("after", F.when(F.col("pos") % 2 == 0, ".").otherwise(" "))
-    known = F.when((F.length("token") > 1), F.lit(" ")).otherwise(F.col("after"))
-    return t.select("lang", word_class("token", known).alias("class")).groupBy("lang", "class").agg(F.count("*").alias("n"))
+    return lines.where(all_caps("x")).groupBy("doc_id").agg(F.count("*").alias("caps_lines"))
 
 
 @query(rf"""WITH p AS (SELECT lang, unnest(list_zip(t, t[2:])) AS x FROM (SELECT lang, regexp_extract_all(text, '[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}]+') AS t FROM documents)),
 w AS (SELECT lang, x[1] AS token, coalesce(left(x[2], 1), '') AS after FROM p WHERE regexp_matches(x[1], '^[\p{{L}}\p{{M}}]'))
 SELECT lang, CASE WHEN after = '.' AND (length(token) = 1 OR lower(token) IN ({", ".join(f"'{x}'" for x in ABBREVIATIONS)})) THEN 'ABBREVIATION' WHEN regexp_matches(token, '^[IVXLCDM]+$') THEN 'NUMERAL'
 WHEN regexp_matches(token, '^[A-Za-zĄČĘĖĮŠŲŪŽąčęėįšųūž]+$') THEN 'WORD' ELSE 'FOREIGN' END AS class, count(*)::BIGINT AS n FROM w GROUP BY ALL""")
-def word_classes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def word_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all tokens as they are written, each with the character that follows it."""
     words = parts(table(spark, sf_dir, "documents"), "lang").where("class <> 'SEPARATOR'")
     return words.groupBy("lang", "class").agg(F.count("*").alias("n"))
@@ -245,7 +228,9 @@ def html_paragraph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_paragraphs(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(r"""WITH RECURSIVE c(doc_id, chunk, text, rest) AS (SELECT doc_id, -1, NULL::VARCHAR, text FROM documents UNION ALL SELECT doc_id, chunk + 1, left(rest, n), substr(rest, n + 1) FROM (SELECT *, CASE WHEN length(rest) <= 4500 THEN length(rest)
+ELSE coalesce(nullif(length(regexp_extract(left(rest, 4500), '(?s)^.*[.!?\n]')), 0), nullif(length(regexp_extract(left(rest, 4500), '(?s)^.* ')), 0), 4500) END AS n FROM c WHERE rest <> ''))
+SELECT doc_id, chunk::INTEGER AS chunk, text FROM c WHERE chunk >= 0""")
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked(table(spark, sf_dir, "documents"), "doc_id")
 

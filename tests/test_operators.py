@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tekstara.operators import guess, joins, lexicon, measures, ranking, sequences, spelling
@@ -18,11 +20,57 @@ def test_chunks():
     assert sequences.chunks("") == []
 
 
-def test_quota():
-    rows = [(i, "ab"[i % 2], 10) for i in range(20)]
-    got = sequences.quota_choice(rows, ["a", "b"], 60)
-    assert len(got) == 6 and len({i % 2 for i in got}) == 2
-    assert sequences.quota_choice([(1, "a", 30), (2, "a", 30)], ["a", "b"], 60) == [1]
+def chosen_by_hand(rows, buckets, budget):
+    """Ids by the rules, one decision after another."""
+    share, used, out = budget / len(buckets), dict.fromkeys(buckets, 0), []
+    for i, b, n in rows:
+        if used[b] + n <= share:
+            used[b] += n
+            out.append(i)
+    while sum(used.values()) < 0.985 * budget:
+        before = len(out)
+        for b in sorted(buckets, key=lambda x: (used[x], buckets.index(x))):
+            room = min(budget - sum(used.values()), int(1.35 * share - used[b]))
+            for i, c, n in rows:
+                if c == b and i not in out and n <= room:
+                    used[b] += n
+                    out.append(i)
+                    break
+        if len(out) == before:
+            break
+    return out
+
+
+def test_quota(spark):
+    rng, want = random.Random(2), set()
+    rows = [(g, i, rng.choice("abc"), rng.randint(1, 40)) for g in range(4) for i in range(30 if g else 3)]
+    for g in range(4):
+        want |= {(g, i) for i in chosen_by_hand([r[1:] for r in rows if r[0] == g], ["a", "b", "c"], 180)}
+    df = spark.createDataFrame(rows, "g int, i int, b string, n long").repartition(3)
+    got = sequences.quota_selected(df, "i", "b", "n", ["a", "b", "c"], 180, "g").collect()
+    assert {(r["g"], r["i"]) for r in got} == want and len(got) == len(want)
+
+
+def test_running_quota_over_ranges(spark):
+    rows = [("x" if i % 3 else None, i * 7, i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, o long, n long").repartition(3)
+    want = set()
+    for k in ("x", None):
+        total = 0
+        for _, o, n in (r for r in rows if r[0] == k):
+            if total >= 60:
+                break
+            total += n
+            want.add((k, o))
+    got = ranking.running_quota(df, "k", "n", 60, "o", width=100).collect()
+    assert {(r["k"], r["o"]) for r in got} == want and len(got) == len(want)
+
+
+def test_reach_with_a_cap(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 1), (2, 4), (3, 4), (4, 5), (5, 6)], "a long, b long")
+    start = spark.createDataFrame([(1,)], "node long")
+    assert {tuple(r) for r in sequences.reach(edges, start, 3).collect()} == {(1, 0), (2, 1), (3, 1), (4, 2), (5, 3)}
+    assert {tuple(r) for r in sequences.reach(edges, start, 9, most=3).collect()} == {(1, 0), (2, 1), (3, 1)}
 
 
 def test_tie_policies(spark):

@@ -10,7 +10,7 @@ def documents(spark, tmp_path, texts):
 
 def test_all_tokens_are_classed(spark, tmp_path):
     sf = documents(spark, tmp_path, ["Dr. Jonas ir dr Ona, pvz. XIV a. kt", "gen.", "страна. a b.", None, ""])
-    got = {r["class"]: r["n"] for r in entry.queries()["word_classes_all"](spark, sf).collect()}
+    got = {r["class"]: r["n"] for r in entry.queries()["word_classes"](spark, sf).collect()}
     # Dr. pvz. a. gen. b. | XIV | Jonas ir dr Ona kt a | страна
     assert got == {"ABBREVIATION": 5, "NUMERAL": 1, "WORD": 6, "FOREIGN": 1}
 
@@ -18,7 +18,7 @@ def test_all_tokens_are_classed(spark, tmp_path):
 def test_bigrams_up_to_the_reference_bound(spark, tmp_path):
     words = ["".join(chr(97 + (i // 26**j) % 26) for j in range(4)) for i in range(25_001)]
     sf = documents(spark, tmp_path, [" ".join(words)] * 2)
-    got = entry.queries()["bigram_table"](spark, sf)
+    got = entry.queries()["bigram_counts_topk"](spark, sf)
     assert got.count() == 25_000 and got.where("n <> 2").count() == 0
 
 
