@@ -98,7 +98,7 @@ def common_prefix(a: ColumnOrName, b: ColumnOrName) -> Column:
 def sentences(c: ColumnOrName) -> Column:
     """Sentences: cut after . ! ? … with closing quotes, where white space follows; trimmed, empty ones dropped."""
     marked = F.regexp_replace(col(c), r"([.!?…]+[\"”’»)]*)\s+", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def list_heavy(text: ColumnOrName) -> Column:
@@ -124,7 +124,7 @@ def safe_rate(a: ColumnOrName, b: ColumnOrName) -> Column:
 
 def distinct_readings(info: ColumnOrName) -> Column:
     """Readings separated by "; ", each once, trimmed, in order of first mention."""
-    return F.array_join(F.array_distinct(F.filter(F.transform(F.split(col(info), "; "), F.trim), lambda x: x != "")), "; ")
+    return F.array_join(F.array_distinct(F.filter(F.transform(F.split(col(info), "; "), lambda s: F.trim(s)), lambda x: x != "")), "; ")
 
 
 def strip_markup(text: ColumnOrName) -> Column:
