@@ -10,10 +10,10 @@ from .ranking import keep_first
 
 # Tags that make a form one of a case, of a finite verb or of a non-finite head form.
 CASES = "nominative genitive dative accusative instrumental locative vocative".split()
-FINITE = "present past future conditional imperative".split()
-NONFINITE = "participle gerund adverbial infinitive half-participle".split()
+FINITE = "present past frequentative future conditional imperative infinitive".split()
+NONFINITE = "participle adverbial active passive necessitative".split()
 #: Order of tags in a cell's key; other tags follow by text.
-TAG_ORDER = [*"definite masculine feminine neuter singular plural".split(), *CASES, "frequentative", *FINITE, *"first-person second-person third-person".split()]
+TAG_ORDER = [*"definite masculine feminine neuter singular plural".split(), *CASES, *FINITE, *"first-person second-person third-person".split()]
 
 
 def tag_rank(tag: Column) -> Column:
