@@ -40,6 +40,13 @@ def mark(c: Column) -> Column:
     return F.when(marks(c) > 0, F.try_element_at(named, last))
 
 
+def marked(letter: Column, name: Column) -> Column:
+    """A letter with the named mark, in one code point where there is one."""
+    whole = F.create_map(*[F.lit(x) for c, (b, n) in COMPOSED.items() for x in (b + n, c)])
+    signs = F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv])
+    return F.coalesce(F.try_element_at(whole, F.concat(letter, name)), F.concat(letter, F.try_element_at(signs, name)))
+
+
 def letters(c: Column) -> Column:
     """Base letters, each with the marks that follow it."""
     return F.regexp_extract_all(c, F.lit(f"([^{_SINGLE}][{_SINGLE}]*)"), 1)

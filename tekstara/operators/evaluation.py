@@ -50,13 +50,7 @@ def confident(said: Column, p: Column, least: float) -> Column:
 
 def option_forms(word: Column, options: Column) -> Column:
     """Forms of (index, mark) pairs of a word: the mark goes on the letter of that index, out of range is left out."""
-    names = F.create_map(*[F.lit(x) for n, m in stress.MARKS.items() for x in (n, m)])
-
-    def put(o: Column) -> Column:
-        made = F.concat(F.left(word, o["index"] + 1), F.element_at(names, o["mark"]), F.substring(word, o["index"] + 2, F.length(word)))
-        # composed where one code point holds both
-        return reduce(lambda x, kv: F.replace(x, F.lit(kv[1][0] + stress.MARKS[kv[1][1]]), F.lit(kv[0])), stress.COMPOSED.items(), made)
-
+    put = lambda o: F.concat(F.left(word, o["index"]), stress.marked(F.substring(word, o["index"] + 1, F.lit(1)), o["mark"]), F.substring(word, o["index"] + 2, F.length(word)))
     return F.transform(F.filter(options, lambda o: (o["index"] >= 0) & (o["index"] < F.length(word))), put)
 
 
