@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import accent, corpus, evaluation, lexicon, lexicon_joins, lines, metrics, sequences, text  # noqa: F401  they register their queries
+from . import accent, corpus, evaluation, generators, lexicon, lexicon_joins, lines, metrics, sequences, text  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
