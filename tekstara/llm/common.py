@@ -95,7 +95,8 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
     parts = F.coalesce("__parts", F.lit(1))
     left = some.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", F.pmod(F.xxhash64(*big.columns), parts)).drop("__key", "__parts")
     right = small.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__key", "__parts")
-    out = left.join(right, [key, "__salt"], how).drop("__salt")
+    # sorted and merged at every size, so that a small table is joined as a large one will be
+    out = left.join(right.hint("merge"), [key, "__salt"], how).drop("__salt")
     if how == "left":
         out = out.unionByName(big.where(F.col(key).isNull()), allowMissingColumns=True)
     return out

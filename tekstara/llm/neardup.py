@@ -20,6 +20,8 @@ B, A, Q = 1.02, 20.0, 4000
 SLACK = 0.25
 #: Members of a block, and bytes of their sets.
 BLOCK, BLOCK_BYTES = 256, 8 << 20
+#: Blocks of a bucket that meet in one place.
+CELL = 16
 _ODD = mix(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -112,7 +114,9 @@ def likely(pairs: DataFrame, floor: float) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b) the pairs with 100 * intersection >= percent * union on full sets."""
+    """Of (a, b) the pairs with 100 * intersection >= percent * union on full sets. Pairs are settled, as they are counted first."""
+    pairs = settle(pairs.select("a", "b"))
+    of = lambda c: pairs.groupBy(c).agg(F.count("*"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +130,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     kind = dict(pairs.dtypes)["a"]
     one, two = (sets.select(F.col("id").alias(c), F.col("items").alias(f"i{c}")) for c in "ab")
-    return map_arrow(salted_join(salted_join(pairs, two, "b"), one, "a").select("a", "b", "ia", "ib"), run, f"a {kind}, b {kind}")
+    return map_arrow(salted_join(salted_join(pairs, two, "b", counts=of("b")), one, "a", counts=of("a")).select("a", "b", "ia", "ib"), run, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -138,7 +142,7 @@ def components(links: DataFrame) -> DataFrame:
         near = salted_join(edges, labels.select(F.col("id").alias("b"), F.col("comp").alias("c")), "b", counts=degrees).groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
         low = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "c").alias("c"))
         jump = labels.select(F.col("id").alias("c"), F.col("comp").alias("up"))
-        new = settle(salted_join(low, jump, "c", "left").select("id", "old", F.least("c", "up").alias("comp")))
+        new = settle(salted_join(settle(low), jump, "c", "left").select("id", "old", F.least("c", "up").alias("comp")))
         labels = new.select("id", "comp")
         if new.where("old <> comp").isEmpty():
             return labels
@@ -163,18 +167,20 @@ def sized(rows: DataFrame, item_bytes: int) -> DataFrame:
 
 def mixed(buckets: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
     """key, band, id, comp, n, regs, main and numbers of blocks of buckets with several components."""
-    rows = buckets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(reps, "id")
-    return settle(sized(rows.select("key", "band", "id", "comp", "n", "regs"), 0))
+    rows = buckets.join(comps.hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(reps.select("id", "n").hint("merge"), "id")
+    # registers come to what is left of the rows
+    return settle(sized(rows.select("key", "band", "id", "comp", "n"), 8).join(reps.select("id", "regs").hint("merge"), "id"))
 
 
 def meeting(rows: DataFrame, cols: list[str], fn, columns: list[tuple[str, pa.DataType, str]]) -> DataFrame:
     """In each bucket the rows outside its largest component meet all of its rows, block by block: a block of theirs goes to each
-    block of the bucket by that block's number, so no task holds a bucket.
+    cell of CELL blocks of the bucket, so no task holds a bucket and a block is sent again only for every CELL * BLOCK rows.
     ``fn(key, band, x, y)`` takes two lists of members and returns ``columns``: (name, Arrow type, SQL type)."""
     keep = ["key", "band", "left_parts", "right_parts", *cols]
     left = _blocks(rows.where("comp <> main").select(*keep), cols, "left_parts")
-    left = left.select("key", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("right_parts") - 1)).alias("block"), F.col("members").alias("x"))
-    right = _blocks(rows.select(*keep), cols, "right_parts").select("key", "band", "block", F.col("members").alias("y"))
+    last = F.floor((F.col("right_parts") - 1) / CELL)
+    left = left.select("key", "band", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("cell"), F.col("members").alias("x"))
+    right = _blocks(rows.select(*keep), cols, "right_parts").select("key", "band", F.floor(F.col("block") / CELL).alias("cell"), F.col("members").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +188,7 @@ def meeting(rows: DataFrame, cols: list[str], fn, columns: list[tuple[str, pa.Da
                 out = fn(key.as_py(), band.as_py(), x.as_py(), y.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind, _) in zip(out, columns, strict=True)], names=[name for name, _, _ in columns])
 
-    met = left.join(right, ["key", "band", "block"]).select("key", "band", "x", "y")
+    met = left.join(right.hint("merge"), ["key", "band", "cell"]).select("key", "band", "x", "y")
     return map_arrow(met, run, ", ".join(f"{name} {kind}" for name, _, kind in columns))
 
 
@@ -241,8 +247,7 @@ def remaining(rows: DataFrame, sets: DataFrame, kind: tuple, floor: float, perce
         return [[key] * len(ids), list(ids)]
 
     use = meeting(rows, ["id", "comp", "n", "regs"], needed, [("key", pa.int64(), "bigint"), ("id", *kind)]).distinct()
-    met = settle(rows.select("key", "band", "id", "comp", "n", "regs").join(settle(use), ["key", "id"]))
-    full = sized(met, 8).join(sets, "id")
+    full = rows.join(settle(use).hint("merge"), ["key", "id"]).join(sets.hint("merge"), "id")
 
     def linked(key, band: int, x: list[dict], y: list[dict]) -> list[list]:
         a, b, cols = [], [], _columns(y)
@@ -292,9 +297,9 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", k
 
     def with_regs(pairs: DataFrame) -> DataFrame:
         a, b = (reps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("regs").alias(f"r{c}")) for c in "ab")
-        return salted_join(pairs, a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        return salted_join(pairs, a, "a").join(b.hint("merge"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
-    stars = buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    stars = settle(buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     links = settle(confirmed(likely(with_regs(stars), floor), sets, percent))
     comps = components(links)
     members, kind = buckets.select("key", "band", "id"), (to_arrow_type(reps.schema["id"].dataType), dict(reps.dtypes)["id"])

@@ -107,6 +107,7 @@ def test_split_buckets_and_hot_keys(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(neardup, "BLOCK", 8)
     monkeypatch.setattr(neardup, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(neardup, "CELL", 2)
     monkeypatch.setattr(common, "HOT_ROWS", 4)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(df).collect()} == brute(rows)
 
