@@ -38,8 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     named, unnamed = docs.where("doc_id is not null"), docs.where("doc_id is null")
     if named.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = neardup.near_duplicates(named, k=5).where("kept").select("doc_id")
-        one = named.join(kept, "doc_id", "left_semi").select(*docs.columns)
+        # those to leave are far fewer than those to keep, so that texts are seldom shuffled to meet them
+        left = neardup.near_duplicates(named, k=5).where("not kept").select("doc_id")
+        one = named.join(left, "doc_id", "left_anti").select(*docs.columns)
     else:
         one = by_row(named)
     return one if unnamed.isEmpty() else one.unionByName(by_row(unnamed))

@@ -291,7 +291,8 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", k
     keys = reps.select("id", F.posexplode(bands).alias("band", "key"))
     shared = settle(keys.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("c")).where("c > 1"))
     buckets = settle(salted_join(keys, shared.drop("c"), "key", counts=shared.select("key", "c")).select("key", "band", "id", "lead"))
-    ids = buckets.select("id").distinct()
+    # settled, so that their size is known before the texts would be shuffled to meet them
+    ids = settle(buckets.select("id").distinct())
     # a repeated id has one text here: that with the most shingles
     sets = settle(full_sets(docs.join(ids, "id", "left_semi"), k).groupBy("id").agg(F.max(F.struct(F.length("items"), "items"))["items"].alias("items")))
 

@@ -4,6 +4,7 @@ from pathlib import Path
 from urllib.parse import urlparse
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tekstara.llm import common, neardup
 from tekstara.llm.common import salted_join
@@ -128,3 +129,12 @@ def test_folders_of_steps_are_removed(spark):
     before = set(at.iterdir()) if at.exists() else set()
     got = near_duplicates(df)
     assert len(set(at.iterdir()) - before) == 1 and got.count() == 60
+
+
+def test_settled_steps_leave_no_shuffle_files(spark):
+    files = lambda: {f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    df = spark.range(5000).groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n"))
+    before = files()
+    settled = common.settle(df)
+    assert not files() - before
+    assert settled.count() == df.count() == 100
