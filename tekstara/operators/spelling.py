@@ -67,9 +67,11 @@ def suggest(queries: DataFrame, words: DataFrame, pairs: DataFrame | None = None
     restore = restore.where(~F.col("known") | strong).drop("most").withColumn("kind", F.lit("restore"))
     first = F.substring("word", 1, 1)
     open_ = long.where(~F.col("known") & (F.upper(first) != first)).join(restore.select("qid").distinct(), "qid", "left_anti")
+    # by distinct words, not by queries: deletions of a word are met once, without its contexts
     keys = F.array_distinct(F.concat(F.array(F.col("low")), deletes1("low"), deletes2("low")))
-    near = open_.withColumn("deletion", F.explode(keys)).join(delete_index(words), "deletion").drop("deletion").distinct()
-    typo = near.withColumn("distance", osa_distance("low", "form")).where((F.col("distance") <= 2) & (F.col("form") != F.col("low"))).withColumn("kind", F.lit("typo"))
+    near = open_.select("low").distinct().withColumn("deletion", F.explode(keys)).join(delete_index(words.select("form", "freq")), "deletion").select("low", "form", "freq").distinct()
+    near = near.withColumn("distance", osa_distance("low", "form")).where((F.col("distance") <= 2) & (F.col("form") != F.col("low")))
+    typo = open_.join(near, "low").withColumn("kind", F.lit("typo"))
     found = restore.unionByName(typo)
     context = F.lit(0)
     if pairs is not None:

@@ -157,3 +157,13 @@ def test_readers(spark, tmp_path):
 def test_intervals(spark):
     df = spark.createDataFrame([("k", 0, 5), ("k", 5, 7), ("k", 9, 10), ("k", 1, 2)], "k string, a int, b int")
     assert sorted(tuple(r) for r in sequences.merge_intervals(df, "k", "a", "b").select("a", "b", "n").collect()) == [(0, 7, 3), (9, 10, 1)]
+
+
+def test_spelling_spreads_words_not_queries(spark):
+    words = spark.createDataFrame([("namas", 9)], "form string, freq long")
+    q = spark.createDataFrame([(i, "namss", f"w{i}", None) for i in range(3)], "qid int, word string, prev string, next string")
+    out = spelling.suggest(q, words)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    below = [low for line, low in zip(plan, plan[1:], strict=False) if "Generate explode" in line and "deletion#" in line]
+    assert len(below) >= 2 and not [low for low in below if "qid#" in low]
+    assert [(r["kind"], r["corrections"]) for r in out.collect()] == [("typo", ["namas"])] * 3
