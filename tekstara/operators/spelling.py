@@ -47,6 +47,30 @@ def substitutions(a: Column, b: Column) -> Column:
     return F.least(F.aggregate(pairs, F.lit(0), lambda s, x: s + x), F.lit(3))
 
 
+def restored(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows of plain-ASCII ``asked`` (qid, low, known, own) with each form that restores them, its freq and distance."""
+    marked = fold_index(words).where("form <> fold")
+    restore = asked.where(F.col("low").rlike("^[\\x00-\\x7f]+$")).withColumn("fold", F.col("low")).join(marked, "fold").where("form <> low")
+    restore = restore.withColumn("distance", substitutions(F.col("low"), F.col("form"))).drop("fold")
+    restore = restore.withColumn("most", F.max("freq").over(W.partitionBy("qid")))
+    strong = (F.col("most") >= 100) & (F.col("most") >= 8 * F.greatest("own", F.lit(1)))
+    return restore.where(~F.col("known") | strong).drop("most").withColumn("kind", F.lit("restore"))
+
+
+def listed(found: DataFrame, top: int, *key: str) -> DataFrame:
+    """The key columns (the first is one), kind, corrections in order and autofix of rows with word, kind, form, freq, distance and context."""
+    marked = F.length(F.regexp_replace("form", "[\\x00-\\x7f]", ""))
+    restoring = F.col("kind") == "restore"
+    keys = [F.when(restoring, -F.col("context")).otherwise(F.col("distance")), F.when(restoring, -F.col("freq")).otherwise(-F.col("context")), F.when(restoring, F.col("distance")).otherwise(-F.col("freq")), marked, F.length("form"), F.collate(F.col("form"), "LT"), F.col("form")]
+    w = W.partitionBy(key[0]).orderBy(*keys)
+    ranked = found.withColumn("rank", F.row_number().over(w)).withColumn("second", F.lead("freq").over(w)).where(F.col("rank") <= top)
+    return ranked.groupBy(*key).agg(
+        F.min("kind").alias("kind"),
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", match_case("form", "word").alias("form")))), lambda x: x["form"]).alias("corrections"),
+        F.max(F.when((F.col("rank") == 1) & (F.col("second").isNull() | ((F.col("freq") > 0) & (F.col("freq") >= F.greatest(8 * F.col("second"), F.col("second") + 1)))), match_case("form", "word"))).alias("autofix"),
+    )
+
+
 def suggest(queries: DataFrame, words: DataFrame, pairs: DataFrame | None = None, top: int = 8) -> DataFrame:
     """kind (ok, restore, typo, unknown), ranked corrections and autofix of each query.
 
@@ -60,11 +84,7 @@ def suggest(queries: DataFrame, words: DataFrame, pairs: DataFrame | None = None
     own = words.select(F.col("form").alias("low"), F.col("freq").alias("own"))
     q = q.join(own, "low", "left").withColumn("known", F.col("own").isNotNull()).fillna(0, ["own"])
     long = q.where(F.length("low") >= 2)
-    restore = long.where(F.col("low").rlike("^[\\x00-\\x7f]+$")).withColumn("fold", F.col("low")).join(fold_index(words), "fold").where("form <> low")
-    restore = restore.withColumn("distance", substitutions(F.col("low"), F.col("form"))).drop("fold")
-    restore = restore.withColumn("most", F.max("freq").over(W.partitionBy("qid")))
-    strong = (F.col("most") >= 100) & (F.col("most") >= 8 * F.greatest("own", F.lit(1)))
-    restore = restore.where(~F.col("known") | strong).drop("most").withColumn("kind", F.lit("restore"))
+    restore = restored(long, words)
     first = F.substring("word", 1, 1)
     open_ = long.where(~F.col("known") & (F.upper(first) != first)).join(restore.select("qid").distinct(), "qid", "left_anti")
     # by distinct words, not by queries: deletions of a word are met once, without its contexts
@@ -78,15 +98,6 @@ def suggest(queries: DataFrame, words: DataFrame, pairs: DataFrame | None = None
         before, after = (pairs.select(F.col(a).alias(b), F.col(c).alias("form"), F.col("n").alias(n)) for a, b, c, n in (("w1", "prev", "w2", "nb"), ("w2", "next", "w1", "na")))
         found = found.join(before, ["prev", "form"], "left").join(after, ["next", "form"], "left")
         context = F.coalesce("nb", F.lit(0)) + F.coalesce("na", F.lit(0))
-    marked = F.length(F.regexp_replace("form", "[\\x00-\\x7f]", ""))
-    restoring = F.col("kind") == "restore"
-    keys = [F.when(restoring, -F.col("context")).otherwise(F.col("distance")), F.when(restoring, -F.col("freq")).otherwise(-F.col("context")), F.when(restoring, F.col("distance")).otherwise(-F.col("freq")), marked, F.length("form"), F.collate(F.col("form"), "LT")]
-    w = W.partitionBy("qid").orderBy(*keys)
-    ranked = found.withColumn("context", context).withColumn("rank", F.row_number().over(w)).withColumn("second", F.lead("freq").over(w)).where(F.col("rank") <= top)
-    listed = ranked.groupBy("qid").agg(
-        F.min("kind").alias("kind"),
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", match_case("form", "word").alias("form")))), lambda x: x["form"]).alias("corrections"),
-        F.max(F.when((F.col("rank") == 1) & (F.col("second").isNull() | ((F.col("freq") > 0) & (F.col("freq") >= F.greatest(8 * F.col("second"), F.col("second") + 1)))), match_case("form", "word"))).alias("autofix"),
-    )
+    ranked = listed(found.withColumn("context", context), top, "qid")
     kind = F.coalesce("kind", F.when(F.col("known") | (F.length("low") < 2), "ok").otherwise("unknown"))
-    return q.join(listed, "qid", "left").select("qid", "word", kind.alias("kind"), F.coalesce("corrections", F.array().cast("array<string>")).alias("corrections"), "autofix")
+    return q.join(ranked, "qid", "left").select("qid", "word", kind.alias("kind"), F.coalesce("corrections", F.array().cast("array<string>")).alias("corrections"), "autofix")
